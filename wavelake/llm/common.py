@@ -175,7 +175,7 @@ def corpus_counts(texts: DataFrame, keys_of, bits: int, width: int) -> DataFrame
     """Count keys over all batches. keys_of(list of texts) gives a batch's keys (uint64, repeats count). A batch sends each distinct key once, with its
     count, so a frequent key costs a batch one entry; the result has each batch's counts in the order of its own sorted keys."""
 
-    def send(key, table: pa.Table) -> pa.Table:
+    def send(key, table):
         unique, count, _ = key_layout(keys_of(table["text"].to_pylist()), bits, width)
         return sent_counts(key[0].as_py(), unique, count, width)
 

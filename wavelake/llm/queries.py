@@ -30,6 +30,12 @@ def op3_source_mixing(spark, sf_dir: str):
     return mix(table(spark, sf_dir, "documents"), quality=quality)
 
 
+def op6_ngram_jaccard_join(spark, sf_dir: str):
+    from .jaccard_join import jaccard_components
+
+    return jaccard_components(table(spark, sf_dir, "documents"))
+
+
 def op10_hash_tree_sharding(spark, sf_dir: str):
     from .sharding import shard_documents
 
@@ -37,7 +43,7 @@ def op10_hash_tree_sharding(spark, sf_dir: str):
 
 
 def queries() -> dict:
-    found = [op2_token_files, op3_source_mixing, op10_hash_tree_sharding]
+    found = [op2_token_files, op3_source_mixing, op6_ngram_jaccard_join, op10_hash_tree_sharding]
     return {f.__name__: f for f in found}
 
 
