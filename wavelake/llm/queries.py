@@ -30,12 +30,24 @@ def op3_source_mixing(spark, sf_dir: str):
     return mix(table(spark, sf_dir, "documents"), quality=quality)
 
 
+def op4_benchmark_decontamination(spark, sf_dir: str):
+    from .decontaminate import contamination
+
+    return contamination(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
 def op6_ngram_jaccard_join(spark, sf_dir: str):
     from .jaccard_join import jaccard_components
 
     return jaccard_components(table(spark, sf_dir, "documents"))
 
 
+def op8_embedding_dedup(spark, sf_dir: str):
+    from .embedding_dedup import embedding_components
+
+    return embedding_components(table(spark, sf_dir, "embeddings"))
+
+
 def op10_hash_tree_sharding(spark, sf_dir: str):
     from .sharding import shard_documents
 
@@ -43,7 +55,9 @@ def op10_hash_tree_sharding(spark, sf_dir: str):
 
 
 def queries() -> dict:
-    found = [op2_token_files, op3_source_mixing, op6_ngram_jaccard_join, op10_hash_tree_sharding]
+    found = [
+        op2_token_files, op3_source_mixing, op4_benchmark_decontamination, op6_ngram_jaccard_join, op8_embedding_dedup, op10_hash_tree_sharding,
+    ]
     return {f.__name__: f for f in found}
 
 
