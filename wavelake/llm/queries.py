@@ -42,6 +42,13 @@ def op6_ngram_jaccard_join(spark, sf_dir: str):
     return jaccard_components(table(spark, sf_dir, "documents"))
 
 
+def op7_line_quality_field(spark, sf_dir: str):
+    from .line_quality import quality, train
+
+    docs = table(spark, sf_dir, "documents")
+    return quality(docs, train(docs, table(spark, sf_dir, "labels")))
+
+
 def op8_embedding_dedup(spark, sf_dir: str):
     from .embedding_dedup import embedding_components
 
@@ -56,7 +63,7 @@ def op10_hash_tree_sharding(spark, sf_dir: str):
 
 def queries() -> dict:
     found = [
-        op2_token_files, op3_source_mixing, op4_benchmark_decontamination, op6_ngram_jaccard_join, op8_embedding_dedup, op10_hash_tree_sharding,
+        op2_token_files, op3_source_mixing, op4_benchmark_decontamination, op6_ngram_jaccard_join, op7_line_quality_field, op8_embedding_dedup, op10_hash_tree_sharding,
     ]
     return {f.__name__: f for f in found}
 
