@@ -123,26 +123,37 @@ def key_layout(keys: np.ndarray, bits: int, width: int) -> tuple[np.ndarray, np.
     return unique, count, inverse
 
 
+def to_raw(low: np.ndarray, width: int) -> bytes:
+    """Keys of 32 or 40 bits: all low halves, then the fifth bytes."""
+    raw = low.astype(np.uint32).tobytes()
+    return raw if width <= 32 else raw + (low >> np.uint64(32)).astype(np.uint8).tobytes()
+
+
+def from_raw(raw: bytes, width: int) -> np.ndarray:
+    if width <= 32:
+        return np.frombuffer(raw, np.uint32)
+    n = len(raw) // 5
+    return np.frombuffer(raw, np.uint32, n).astype(np.uint64) | (np.frombuffer(raw, np.uint8, offset=4 * n).astype(np.uint64) << np.uint64(32))
+
+
 def sent_counts(batch: int, unique: np.ndarray, count: np.ndarray, width: int) -> pa.Table:
     """One row for each bucket of a batch: its keys' low bits and counts, as plain arrays."""
     bucket = (unique >> np.uint64(width)).astype(np.int64)
     cuts = np.flatnonzero(np.r_[True, bucket[1:] != bucket[:-1]]) if len(bucket) else np.zeros(0, np.int64)
     ends = np.r_[cuts[1:], len(bucket)] if len(cuts) else cuts
-    kind = np.uint32 if width <= 32 else np.uint64
-    low = (unique & np.uint64((1 << width) - 1)).astype(kind)
+    low = unique & np.uint64((1 << width) - 1)
     count = count.astype(np.uint32)
     return pa.table({
         "batch": pa.array(np.full(len(cuts), batch), pa.int32()),
         "bucket": pa.array(bucket[cuts], pa.int32()),
-        "seen": _lists([low[a:b].tobytes() for a, b in zip(cuts, ends, strict=True)]),
+        "seen": _lists([to_raw(low[a:b], width) for a, b in zip(cuts, ends, strict=True)]),
         "totals": _lists([count[a:b].tobytes() for a, b in zip(cuts, ends, strict=True)]),
     })
 
 
 def returned_counts(table: pa.Table, width: int) -> pa.Table:
     """For each batch's row of a bucket: places of the keys whose count over the corpus is not 1, and those counts."""
-    kind = np.uint32 if width <= 32 else np.uint64
-    keys = [np.frombuffer(x, kind) for x in table["seen"].to_pylist()]
+    keys = [from_raw(x, width) for x in table["seen"].to_pylist()]
     counts = [np.frombuffer(x, np.uint32) for x in table["totals"].to_pylist()]
     _, inverse = np.unique(np.concatenate(keys), return_inverse=True)
     total = np.bincount(inverse, weights=np.concatenate(counts))[inverse].astype(np.uint64)
@@ -150,9 +161,9 @@ def returned_counts(table: pa.Table, width: int) -> pa.Table:
     for k in keys:
         t = total[at : at + len(k)]
         at += len(k)
-        where = np.flatnonzero(t > 1)
-        seen.append(where.astype(np.uint32).tobytes())
-        totals.append(t[where].tobytes())
+        more = t > 1
+        seen.append(np.packbits(more).tobytes())
+        totals.append(t[more].tobytes())
     return pa.table({"batch": table["batch"].combine_chunks(), "bucket": table["bucket"].combine_chunks(), "seen": _lists(seen), "totals": _lists(totals)})
 
 
@@ -162,7 +173,7 @@ def counts_of(unique: np.ndarray, width: int, back: pa.Table) -> np.ndarray:
     bucket = unique >> np.uint64(width)
     for b, seen, totals in zip(back["bucket"].to_pylist(), back["seen"].to_pylist(), back["totals"].to_pylist(), strict=True):
         start = np.searchsorted(bucket, np.uint64(b))
-        out[start + np.frombuffer(seen, np.uint32).astype(np.int64)] = np.frombuffer(totals, np.uint64)
+        out[start + np.flatnonzero(np.unpackbits(np.frombuffer(seen, np.uint8)))] = np.frombuffer(totals, np.uint64)
     return out
 
 

@@ -69,6 +69,9 @@ def mix(docs: DataFrame, source_weights=(1.0, 2.0, 3.0), cap: float = 3.0, quali
 
 
 def take(docs: DataFrame, **options) -> DataFrame:
-    """The rows of docs of which the mix takes words, as they are: the pipeline's stage. Documents without words stay: they cost nothing."""
-    chosen = mix(docs, **options).filter("taken > 0 or size = 0").select(F.col("doc_id").alias("__id")).distinct()
-    return docs.join(chosen, docs["doc_id"].cast("long").eqNullSafe(chosen["__id"]), "left_semi")
+    """The rows of docs as often as the mix takes them, with docs' columns: the pipeline's stage. A document's whole text comes once for each epoch and once
+    more where the rest reaches it; documents without words cost nothing and stay."""
+    times = F.when(F.col("size") == 0, 1).otherwise(F.col("epochs") + (F.col("taken") > F.col("epochs") * F.col("size")).cast("int"))
+    chosen = mix(docs, **options).select(F.col("doc_id").alias("__id"), times.cast("int").alias("__times")).groupBy("__id").agg(F.max("__times").alias("__times")).filter("__times > 0")
+    out = docs.join(chosen, docs["doc_id"].cast("long").eqNullSafe(chosen["__id"]))
+    return out.withColumn("__copy", F.explode(F.sequence(F.lit(1), F.col("__times")))).select(*docs.columns)

@@ -17,6 +17,12 @@ def tokenizer_path(name: str) -> str:
     return public_tokenizers.path(name)
 
 
+def op1_unigram_token_counts(spark, sf_dir: str):
+    from .token_counts import token_counts
+
+    return token_counts(table(spark, sf_dir, "documents"), tokenizer_path("piece_bpe_32k.model"))
+
+
 def op2_token_files(spark, sf_dir: str):
     from .token_files import token_digest
 
@@ -36,6 +42,12 @@ def op4_benchmark_decontamination(spark, sf_dir: str):
     return contamination(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
 
 
+def op5_stupid_backoff(spark, sf_dir: str):
+    from .lm_score import backoff_scores
+
+    return backoff_scores(table(spark, sf_dir, "documents"))
+
+
 def op6_ngram_jaccard_join(spark, sf_dir: str):
     from .jaccard_join import jaccard_components
 
@@ -63,7 +75,7 @@ def op10_hash_tree_sharding(spark, sf_dir: str):
 
 def queries() -> dict:
     found = [
-        op2_token_files, op3_source_mixing, op4_benchmark_decontamination, op6_ngram_jaccard_join, op7_line_quality_field, op8_embedding_dedup, op10_hash_tree_sharding,
+        op1_unigram_token_counts, op2_token_files, op3_source_mixing, op4_benchmark_decontamination, op5_stupid_backoff, op6_ngram_jaccard_join, op7_line_quality_field, op8_embedding_dedup, op10_hash_tree_sharding,
     ]
     return {f.__name__: f for f in found}
 
