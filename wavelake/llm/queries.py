@@ -67,6 +67,12 @@ def op8_embedding_dedup(spark, sf_dir: str):
     return embedding_components(table(spark, sf_dir, "embeddings"))
 
 
+def op9_suffix_dedup(spark, sf_dir: str):
+    from .suffix_dedup import digest, repeated_spans
+
+    return digest(repeated_spans(table(spark, sf_dir, "documents")))
+
+
 def op10_hash_tree_sharding(spark, sf_dir: str):
     from .sharding import shard_documents
 
@@ -75,7 +81,7 @@ def op10_hash_tree_sharding(spark, sf_dir: str):
 
 def queries() -> dict:
     found = [
-        op1_unigram_token_counts, op2_token_files, op3_source_mixing, op4_benchmark_decontamination, op5_stupid_backoff, op6_ngram_jaccard_join, op7_line_quality_field, op8_embedding_dedup, op10_hash_tree_sharding,
+        op1_unigram_token_counts, op2_token_files, op3_source_mixing, op4_benchmark_decontamination, op5_stupid_backoff, op6_ngram_jaccard_join, op7_line_quality_field, op8_embedding_dedup, op9_suffix_dedup, op10_hash_tree_sharding,
     ]
     return {f.__name__: f for f in found}
 
