@@ -1 +1 @@
-"""..."""
+"""Column functions and dense numeric kernels."""

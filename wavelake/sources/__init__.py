@@ -1 +1 @@
-"""..."""
+"""Readers of word tables, audio and models."""

@@ -1 +1 @@
-"""..."""
+"""Structured Streaming versions of windowed and recursive operators."""
