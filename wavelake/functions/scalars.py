@@ -44,13 +44,12 @@ def sigmoid_derivative(x: Column, top: float = 1.0, slope: float = 1.0, middle:
 
 
 def fir_order(transition: float, srate: float, attenuation: float = 60.0, ripples: float | None = None) -> int:
-    """Taps of a low-pass: by attenuation (dB), or by ripples in pass and stop band; always odd."""
+    """Taps of a low-pass from its stop-band attenuation (dB), by the rule with pass-band ripples if they are given; always odd."""
     if ripples:
-        n = 2.0 / 3.0 * math.log10(1 / (10 * ripples * ripples)) * srate / transition
-        n = math.ceil(n)
+        n = math.floor(2.0 / 3.0 * (-math.log10(10 * ripples) + attenuation / 10) * srate / transition + 1e-9)
     else:
-        n = math.ceil(attenuation * srate / (22 * transition))
-    return n if n % 2 else n + 1
+        n = math.floor(attenuation * srate / (22.0 * transition))
+    return n if n % 2 else n - 1
 
 
 def compress(x: Column, how: str | float = "cuberoot") -> Column:
