@@ -75,18 +75,33 @@ def edge_filtered(x: np.ndarray, taps: np.ndarray) -> np.ndarray:
     return np.convolve(np.pad(x, (half, half), mode="edge"), taps, mode="valid")
 
 
-def recursive(b: np.ndarray, a: np.ndarray, x: np.ndarray) -> np.ndarray:
-    """Direct-form filter b, a over time; columns of x at once."""
+def recursive(b: np.ndarray, a: np.ndarray, x: np.ndarray, block: int = 128) -> np.ndarray:
+    """Recursive filter b, a over time; columns of x at once. State-space form, a block of samples a step: what a block's input and the state before it add
+    to its output are two matrices, so the loop runs over blocks, not samples."""
     b, a = np.asarray(b, float) / a[0], np.asarray(a, float) / a[0]
-    n = max(len(a), len(b))
+    n, block = max(len(a), len(b), 2), max(1, min(block, len(x)))
     b, a = np.pad(b, (0, n - len(b))), np.pad(a, (0, n - len(a)))
-    state, out = np.zeros((n, *x.shape[1:])), np.zeros_like(x, dtype=float)
-    for t in range(len(x)):
-        y = b[0] * x[t] + state[0]
-        for i in range(1, n):
-            state[i - 1] = b[i] * x[t] - a[i] * y + (state[i] if i < n - 1 else 0)
-        out[t] = y
-    return out
+    move = np.eye(n - 1, k=1)
+    move[:, 0] -= a[1:]
+    enter = b[1:] - a[1:] * b[0]
+    seen, given = [np.eye(n - 1)[0]], [enter]
+    for _ in range(block - 1):
+        seen.append(seen[-1] @ move)
+        given.append(move @ given[-1])
+    seen, given = np.array(seen), np.array(given)
+    impulse = np.r_[b[0], seen[:-1] @ enter]
+    lag = np.arange(block)[:, None] - np.arange(block)[None, :]
+    inside = np.where(lag >= 0, impulse[np.maximum(lag, 0)], 0.0)
+    jump = np.linalg.matrix_power(move, block)
+    flat = x.reshape(len(x), -1).astype(float)
+    out, state = np.empty_like(flat), np.zeros((n - 1, flat.shape[1]))
+    for t in range(0, len(flat), block):
+        part = flat[t : t + block]
+        k = len(part)
+        out[t : t + k] = inside[:k, :k] @ part + seen[:k] @ state
+        if k == block:
+            state = jump @ state + given[::-1].T @ part
+    return out.reshape(x.shape)
 
 
 def chebyshev2(order: int, ripple: float, band: tuple[float, float] | float, srate: float, kind: str = "bandpass") -> tuple[np.ndarray, np.ndarray]:

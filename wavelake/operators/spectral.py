@@ -124,15 +124,19 @@ def rate_map(df: DataFrame, column: str, srate: float, key: list[str], t: str =
     kinds = dict(df.dtypes)
 
     def run(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values(t)
-        env = nm.gammatone(pdf[column].to_numpy(float), srate, float(pdf["cf"].iloc[0]))["envelope"]
-        frames = -(-len(env) // size)
-        s = nm.recursive(np.array([1.0]), np.array([1.0, -decay]), np.pad(env, (0, frames * size - len(env))))
-        value = s.reshape(frames, size).mean(axis=1) * (1 - decay)
-        return pd.DataFrame({**{k: [pdf[k].iloc[0]] * frames for k in key}, "channel": pdf["channel"].iloc[0], "cf": pdf["cf"].iloc[0], "frame": np.arange(frames), "value": value})
-
-    schema = ", ".join([*[f"{k} {kinds[k]}" for k in key], "channel int", "cf double", "frame long", "value double"])
-    out = df.select(*key, t, column).crossJoin(F.broadcast(freqs)).groupBy(*key, "channel").applyInPandas(run, schema)
+        parts = []
+        for (channel, cf), one in pdf.sort_values(t).groupby(["channel", "cf"]):
+            env = nm.gammatone(one[column].to_numpy(float), srate, cf)["envelope"]
+            frames = -(-len(env) // size)
+            s = nm.recursive(np.array([1.0]), np.array([1.0, -decay]), np.pad(env, (0, frames * size - len(env))))
+            parts.append(pd.DataFrame({"channel": channel, "cf": cf, "frame": np.arange(frames), "value": s.reshape(frames, size).mean(axis=1) * (1 - decay)}))
+        out = pd.concat(parts)
+        for k in key:
+            out[k] = pdf[k].iloc[0]
+        return out[[*key, "channel", "cf", "frame", "value"]]
+
+    schema = ", ".join([*[f"{k} {kinds[k]}" for k in key], "channel int, cf double, frame long, value double"])
+    out = df.select(*key, t, column).crossJoin(F.broadcast(freqs)).groupBy(*key, F.floor(F.col("channel") / 8)).applyInPandas(run, schema)
     return out.withColumn("value", compress(F.col("value"), how))
 
 

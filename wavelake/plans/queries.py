@@ -11,7 +11,7 @@ from ..functions import scalars
 from ..operators import autoregressive as ar
 from ..operators import connectivity as cn
 from ..operators import covariance as cv
-from ..operators import lags, response, simulate, spectral, windows, words
+from ..operators import lags, response, simulate, solvers, spectral, windows, words
 from ..operators.gram import gram_table
 from ..sources import text_tables
 from .tables import EV, KEY, ORDER, emb_sql, embeddings, events, head, head_sql, lagged_sql, lines, load, rounded, rsql, solve_sql, sums_sql
@@ -754,6 +754,62 @@ def significance_stars(spark, sf):
     return load(spark, sf, "part").select("p_partkey", scalars.stars(p).alias("stars"))
 
 
+# ---- solvers and group statistics
+
+_LI = f"""WITH lo AS (SELECT 1.0 AS one, l_quantity / 50 AS q, l_discount AS d, l_tax AS x FROM lineitem), {sums_sql("g", "lo", ["one", "q", "d"], ["x"], alpha="2.0")}, {solve_sql("g", 3)}
+ SELECT i AS name, {rsql('CASE i WHEN 0 THEN a_0_3 WHEN 1 THEN a_1_3 ELSE a_2_3 END', 7)} AS coef FROM s2, (SELECT CAST(unnest([0, 1, 2]) AS INTEGER) AS i)"""
+
+
+def _lineitem(spark, sf):
+    return load(spark, sf, "lineitem").select(F.lit(1.0).alias("one"), (F.col("l_quantity") / 50).alias("q"), F.col("l_discount").alias("d"), F.col("l_tax").alias("x"))
+
+
+@query(_LI)
+def solver_conjugate_gradient(spark, sf):
+    df = _lineitem(spark, sf)
+    columns = ["one", "q", "d"]
+    b = np.array([v for v in df.agg(*[F.sum(F.col(c) * F.col("x")) for c in columns]).first()])
+    diagonal = np.array([v for v in df.agg(*[F.sum(F.col(c) * F.col(c)) for c in columns]).first()])
+    x = solvers.conjugate_gradient(solvers.normal_product(df, columns), b, ridge=2.0, precondition=solvers.jacobi(diagonal + 2.0))
+    return spark.createDataFrame([(i, round(float(v), 7) + 0.0) for i, v in enumerate(x)], "name int, coef double")
+
+
+@query(_LI)
+def solver_svd(spark, sf):
+    from ..operators.gram import gram_matrix
+
+    g = gram_matrix(_lineitem(spark, sf), ["one", "q", "d", "x"])
+    x = solvers.truncated(g[:3, :3], g[:3, 3], ridge=2.0)
+    return spark.createDataFrame([(i, round(float(v), 7) + 0.0) for i, v in enumerate(x)], "name int, coef double")
+
+
+@query(f"""SELECT event_type, {rsql('quantile_cont(value, 0.25)')} AS q1, {rsql('quantile_cont(value, 0.5)')} AS q2, {rsql('quantile_cont(value, 0.75)')} AS q3 FROM events GROUP BY 1""")
+def quartiles(spark, sf):
+    q = lambda p: rounded(F.percentile("value", p))
+    return load(spark, sf, "events").groupBy("event_type").agg(q(0.25).alias("q1"), q(0.5).alias("q2"), q(0.75).alias("q3"))
+
+
+@query(f"WITH {EV}, d AS (SELECT recording, x - y AS d FROM ev) SELECT recording, {rsql('avg(d) / (stddev_samp(d) / sqrt(count(*)))')} AS t, count(*) - 1 AS dof FROM d GROUP BY 1")
+def paired_t(spark, sf):
+    d = F.col("x") - F.col("y")
+    return events(spark, sf).groupBy("recording").agg(rounded(F.avg(d) / (F.stddev_samp(d) / F.sqrt(F.count("*")))).alias("t"), (F.count("*") - 1).alias("dof"))
+
+
+@query()
+def cochleogram(spark, sf):
+    out = spectral.rate_map(head(spark, sf, 40), "x", 16000.0, KEY, low=80.0, high=8000.0, channels=32, shift=1.0)
+    return out.select("recording", "channel", "frame", rounded("value").alias("value"))
+
+
+@query()
+def cca_activation(spark, sf):
+    df = embeddings(spark, sf, 6)
+    _, b, _ = cv.canonical(df, ["e0", "e1", "e2"], ["e3", "e4", "e5"])
+    n, _, s = cv.moments(df, ["e3", "e4", "e5"])
+    a = cv.activation(s / (n - 1), b)
+    return spark.createDataFrame([(i, j, round(float(a[i, j]), 6) + 0.0) for i in range(3) for j in range(3)], "channel int, component int, weight double")
+
+
 # ---- words
 
 _LINES = "ln AS (SELECT doc_id, unnest(string_split(text, chr(10))) AS line, unnest(range(1, len(string_split(text, chr(10))) + 1)) AS line_no FROM documents)"
