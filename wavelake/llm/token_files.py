@@ -125,7 +125,7 @@ class Encoder:
 
     PATTERN = r"'(?:[sdmt]|ll|ve|re)| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
 
-    def __init__(self, path: str, pieces: int = 250_000, pretokens: int = 900_000):
+    def __init__(self, path: str, pieces: int = 500_000, pretokens: int = 1_400_000):
         from tokenizers import Tokenizer, pre_tokenizers
 
         self.tokenizer = Tokenizer.from_file(path)
@@ -157,11 +157,10 @@ class Encoder:
         return out
 
     def _piece(self, text: str) -> bytes:
-        out = self.pieces.get(text)
-        if out is None:
-            out = b"".join(map(self._pretoken, self.cut(text)))
-            if len(self.pieces) < self.most_pieces:
-                self.pieces[text] = out
+        """A piece after a space, and that space."""
+        out = b"".join(map(self._pretoken, self.cut(" " + text)))
+        if len(self.pieces) < self.most_pieces:
+            self.pieces[text] = out
         return out
 
     def encode(self, text: str) -> bytes:
@@ -170,9 +169,12 @@ class Encoder:
             return b""
         if self.odd.search(text) or self.special.search(text):
             return self._whole(text)
-        first, *rest = text.split(" ")
-        get, piece = self.pieces.get, self._piece
-        return (piece(first) if first else b"") + b"".join([get(x) or piece(x) for x in [" " + w for w in rest]])
+        pieces = text.split(" ")
+        out = list(map(self.pieces.get, pieces))
+        out[0] = b"".join(map(self._pretoken, self.cut(pieces[0])))
+        if None in out:
+            out = [self._piece(p) if x is None else x for x, p in zip(out, pieces, strict=True)]
+        return b"".join(out)
 
 
 @functools.lru_cache(maxsize=2)
