@@ -8,6 +8,10 @@ from pyspark.sql import functions as F
 from .common import WORD, running
 
 
+#: With more sources than this the table of targets, one row a source, isn't broadcast.
+MOST_BROADCAST = 100_000
+
+
 def n_words(text: Column) -> Column:
     return F.coalesce(F.regexp_count(text, F.lit(WORD)), F.lit(0)).cast("long")
 
@@ -59,8 +63,9 @@ def mix(docs: DataFrame, source_weights=(1.0, 2.0, 3.0), cap: float = 3.0, quali
     spread = max(64, -(-sum(n for _, n in stats.values()) // rows_per_bucket))
     df = df.withColumn("__bucket", F.floor((1 - F.exp(-F.col("__key"))) * spread).cast("int"))
     df = running(df, ["source"], "__bucket", ["__key", "doc_id", "size"], {"__before": F.col("size")})
-    # one row for each source, as the driver knows: a bounded table
-    df = df.join(F.broadcast(plan), df["source"].eqNullSafe(plan["source"]), "inner").drop(plan["source"])
+    if len(names) <= MOST_BROADCAST:
+        plan = F.broadcast(plan)
+    df = df.join(plan, df["source"].eqNullSafe(plan["source"]), "inner").drop(plan["source"])
     budget = F.rint("target").cast("long")
     epochs = F.when(F.col("source_size") > 0, F.floor(budget / F.col("source_size"))).otherwise(F.lit(0)).cast("long")
     rest = budget - epochs * F.col("source_size")
