@@ -63,6 +63,10 @@ def test_resampling_keeps_a_sine():
     assert np.allclose(nm.resampled(np.sin(2 * np.pi * 5 * t), 100), np.sin(2 * np.pi * 5 * t[::2]), atol=1e-8)
 
 
+def test_positive_definite():
+    assert nm.positive_definite(np.eye(2)) and not nm.positive_definite(-np.eye(2)) and not nm.positive_definite(np.array([[1, 0.1], [0, 1]]))
+
+
 def test_student_t():
     assert abs(nm.t_two_sided(2.228138852, 10) - 0.05) < 1e-8
     assert abs(nm.t_two_sided(1.0, 1) - 0.5) < 1e-12

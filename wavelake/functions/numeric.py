@@ -199,3 +199,14 @@ def signed(vectors: np.ndarray) -> np.ndarray:
     """Columns with their largest entry positive."""
     top = np.abs(vectors).argmax(axis=0)
     return vectors * np.where(vectors[top, np.arange(vectors.shape[1])] < 0, -1, 1)
+
+
+def positive_definite(a: np.ndarray) -> bool:
+    """Exactly symmetric, and a Cholesky factor exists."""
+    if not np.array_equal(a, a.T):
+        return False
+    try:
+        np.linalg.cholesky(a)
+    except np.linalg.LinAlgError:
+        return False
+    return True

@@ -233,11 +233,11 @@ def _model_sql(xs: list[str], names: list[str], lag_list: list[int], alphas: lis
 
 
 def _named(k: int | None) -> str:
-    return "NULL::INTEGER AS lag, NULL::VARCHAR AS feature, 'y'" if k is None else f"{k} AS lag, 'x' AS feature, 'y'"
+    return "0 AS lag, 'intercept' AS feature, 'y'" if k is None else f"{k} AS lag, 'x' AS feature, 'y'"
 
 
 def _coefs(model, digits: int = 6):
-    return model.withColumn("coef", rounded("coef", digits))
+    return model.withColumns({"lag": F.coalesce("lag", F.lit(0)), "feature": F.coalesce("feature", F.lit("intercept")), "coef": rounded("coef", digits)})
 
 
 @query(f"WITH {_model_sql(['one', 'x_0'], [_named(None), _named(0)], [0], [0.0])} SELECT * FROM model")
@@ -270,7 +270,7 @@ def trf_segments(spark, sf):
     return _coefs(_trf(spark, sf)[2])
 
 
-_HAT = f"""WITH {_TRF_RAW}, c AS (SELECT max(CASE WHEN lag IS NULL THEN coef END) AS b, max(CASE WHEN lag = -1 THEN coef END) AS m1, max(CASE WHEN lag = 0 THEN coef END) AS c0, max(CASE WHEN lag = 1 THEN coef END) AS c1 FROM model),
+_HAT = f"""WITH {_TRF_RAW}, c AS (SELECT max(CASE WHEN feature = 'intercept' THEN coef END) AS b, max(CASE WHEN lag = -1 THEN coef END) AS m1, max(CASE WHEN lag = 0 AND feature = 'x' THEN coef END) AS c0, max(CASE WHEN lag = 1 THEN coef END) AS c1 FROM model),
  hat AS (SELECT recording, t, y, b + m1 * coalesce(x_m1, 0) + c0 * x_0 + c1 * coalesce(x_1, 0) AS y_hat FROM lg, c)"""
 
 
@@ -380,6 +380,31 @@ def model_nearest_lag(spark, sf):
     return _coefs(response.nearest_lag(_m3(spark, sf), [0.011, 0.5], 125.0))
 
 
+@query(f"{_CV} SELECT alpha, {rsql('avg(score)')} AS score, count(*) AS folds FROM sc GROUP BY alpha")
+def trf_multialpha_mean(spark, sf):
+    return _cv(spark, sf).groupBy("alpha").agg(rounded(F.avg("score")).alias("score"), F.count("*").alias("folds"))
+
+
+@query(f"""WITH {EV}, m AS (SELECT t, avg(x) AS x, avg(y) AS y FROM ev GROUP BY 1), {sums_sql("g", "m", ["1.0", "x"], ["y"], alpha="0.5")}, {solve_sql("g", 2)}
+ SELECT 0.5::DOUBLE AS alpha, 0 AS lag, 'intercept' AS feature, 'y' AS channel, {rsql('a_0_2')} AS coef FROM s1 UNION ALL SELECT 0.5, 0, 'x', 'y', {rsql('a_1_2')} FROM s1""")
+def trf_mean_of_subjects(spark, sf):
+    mean = events(spark, sf).groupBy("t").agg(F.avg("x").alias("x"), F.avg("y").alias("y")).withColumn("recording", F.lit(0))
+    return _coefs(response.ResponseModel([0], 0.5).fit(mean, ["x"], ["y"], KEY, ORDER))
+
+
+@query(f"WITH {_M3} SELECT lag, bool_or(abs(coef) > 0.35) AS significant FROM model GROUP BY 1")
+def trf_significant_lags(spark, sf):
+    return _m3(spark, sf).groupBy("lag").agg(F.bool_or(F.abs("coef") > 0.35).alias("significant"))
+
+
+@query(f"WITH {emb_sql(3)} SELECT vec_id, " + ", ".join(f"{rsql(f'(e{i} - min(e{i}) OVER ()) / (max(e{i}) OVER () - min(e{i}) OVER ())')} AS c{i}" for i in range(3)) + " FROM em")
+def spatial_colours(spark, sf):
+    df = embeddings(spark, sf, 3)
+    edges = df.agg(*[f(f"e{i}").alias(f"{n}{i}") for i in range(3) for n, f in (("lo", F.min), ("hi", F.max))])  # one row
+    out = df.crossJoin(F.broadcast(edges))
+    return out.select("vec_id", *[rounded((F.col(f"e{i}") - F.col(f"lo{i}")) / (F.col(f"hi{i}") - F.col(f"lo{i}"))).alias(f"c{i}") for i in range(3)])
+
+
 # ---- autoregressive models
 
 
