@@ -53,6 +53,12 @@ def _remove_all() -> None:
         return
 
 
+def small_batches(spark: SparkSession, rows: int = 1_000) -> None:
+    """Fewer rows in an Arrow batch than Spark's default of 10,000: whole texts are long, and batches wait on both sides of the Python border."""
+    if int(spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch")) > rows:
+        spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(rows))
+
+
 def saved(df: DataFrame, name: str) -> DataFrame:
     """Cut the lineage: written as Parquet to the shared folder and read back, so that a lost executor costs nothing."""
     spark = df.sparkSession
@@ -101,8 +107,9 @@ def binary(text: Column) -> Column:
     return F.coalesce(text, F.lit("")).cast("binary")
 
 
-def batched(docs: DataFrame, doc_id: str, text: str, batch_mb: float = 8) -> tuple[DataFrame, int, int]:
+def batched(docs: DataFrame, doc_id: str, text: str, batch_mb: float = 4) -> tuple[DataFrame, int, int]:
     """(doc_id, text as bytes, batch) with about batch_mb of text in a batch; number of batches; bytes of all texts. Rows of a doc_id meet in one batch."""
+    small_batches(docs.sparkSession)
     total = docs.agg(F.sum(F.octet_length(F.col(text)) + F.lit(64)).alias("b")).first()["b"] or 0
     n = max(1, int(total / (batch_mb * 2**20)) + 1)
     batch = F.pmod(F.xxhash64(F.col(doc_id)), F.lit(n)).cast("int")
@@ -177,7 +184,7 @@ def counts_of(unique: np.ndarray, width: int, back: pa.Table) -> np.ndarray:
     return out
 
 
-def bucket_bits(keys: int, per_bucket: int = 2_000_000) -> int:
+def bucket_bits(keys: int, per_bucket: int = 1_000_000) -> int:
     """Bits of the bucket number: a bucket holds about per_bucket keys, whatever the corpus."""
     return max(4, int(np.ceil(np.log2(max(1, keys / per_bucket)))))
 

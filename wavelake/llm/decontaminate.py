@@ -9,7 +9,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import gram_hashes, word_hashes
+from .common import gram_hashes, small_batches, word_hashes
 
 #: Fingerprints of multisets with weighted Jaccard similarity 0.75 differ in 11 of 64 bits on average, with a deviation of 3; beyond 28 is one in 10^8.
 RADIUS, BLOCKS = 28, 8
@@ -145,6 +145,7 @@ def contamination(docs: DataFrame, benchmark: DataFrame, least: float = 0.75, k:
     nothing; equal items and repeated rows give a row each; empty tables give none.
     """
     spark = docs.sparkSession
+    small_batches(spark)
     items = benchmark.select(F.col(item_id).cast("long").alias("item_id"), F.coalesce(F.col(item_text), F.lit("")).cast("binary").alias("text"))
     total = items.agg(F.sum(F.octet_length("text") + 32).alias("b")).first()["b"] or 0
     blocks = max(1, -(-total // block_bytes))

@@ -47,7 +47,7 @@ def backoff_scores(docs: DataFrame, order: int = 2, least: int = 2, alpha: float
     Words are lower-cased (A-Z) runs of non-white space of whole texts. n-grams that the corpus holds less than least times are backed off from; counts are
     over all documents, repeated rows included. Null and empty texts score 0 with no words; null ids stay null; other columns are ignored.
     """
-    texts, _, size = batched(docs, doc_id, text)
+    texts, _, size = batched(docs, doc_id, text, 8)
     bits, width = bucket_bits(size // 8), 40
     spark = docs.sparkSession
     total = texts.select(F.sum(F.regexp_count(F.col("text").cast("string"), F.lit(r"[^\x20\x09-\x0D]+")))).first()[0] or 0

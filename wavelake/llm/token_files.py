@@ -16,7 +16,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import fresh_dir
+from .common import fresh_dir, small_batches
 
 MAGIC = b"WLTOKEN1"
 BLOCK = 4096
@@ -192,6 +192,7 @@ def write_tokens(docs: DataFrame, tokenizer: str, folder: str, end_id: int = 0,
     """Encode every whole text (null: empty) and write ids to bit-packed files in folder, in ascending doc_id over files and inside each. Rows of the result:
     file number, documents, ids. Each document's ids end with end_id. Equal doc_ids go by text; null doc_ids are left out, as the order is by id."""
     spark = docs.sparkSession
+    small_batches(spark)
     total = docs.agg(F.sum(F.octet_length(F.col(text)))).first()[0] or 0
     files = files or max(int(spark.conf.get("spark.sql.shuffle.partitions")), total // (64 << 20))
     rows = docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.coalesce(F.col(text), F.lit("")).alias("text")).filter("doc_id is not null")
