@@ -6,12 +6,17 @@ With k = 2 either one of the shared prefix tokens is rare, and an index of singl
 two-token combinations of frequent tokens finds it. Sets of one token only link to equal sets.
 
 Equal sets are one class from the start. Classes that share a minimum hash are first held against the smallest of them, which links most of a group of
-copies with one comparison a member; only pairs that are still in different components are then sought in the index. Every pair of the index between
-different components is verified, so no link between different texts that matters to the components is lost.
+copies with one comparison a member; only pairs that are still in different components are then sought in the index, over tokens that more than one
+component holds. Combinations are not written out, as a long prefix has very many: documents with two frequent tokens are gathered into clusters that share
+such tokens, and in blocks of a cluster the product of two incidence matrices counts, for every pair, how many frequent tokens it shares; k or more means a
+common k-token combination. All pairs of the index between different components are verified, so no link that matters to the components is lost, and a
+block gives a spanning forest of its links, not the links.
 """
 
 from __future__ import annotations
 
+import math
+
 import numpy as np
 import pyarrow as pa
 import xxhash
@@ -22,7 +27,7 @@ from .common import batched, bucket_bits, components, corpus_counts, counts_of,
 
 K = 2
 SEEDS = (0x243F6A8885A308D3, 0x13198A2E03707344, 0xA4093822299F31D0, 0x082EFA98EC4E6C89)
-SET_SCHEMA = "doc_id long, n long, fp1 long, fp2 long, keys array<long>, rare array<long>, frequent array<long>, tokens binary"
+SET_SCHEMA = "doc_id long, n long, fp1 long, fp2 long, keys array<long>, prefix array<long>, tokens binary"
 
 
 def token_set(text: bytes, words: int = 5) -> np.ndarray:
@@ -39,14 +44,14 @@ def _lists(values: list, kind) -> pa.Array:
     return pa.array(values, pa.list_(kind))
 
 
-def describe(table: pa.Table, back: pa.Table | None, bits: int, width: int, words: int, num: int, den: int, frequent: int) -> pa.Table:
+def describe(table: pa.Table, back: pa.Table | None, bits: int, width: int, words: int, num: int, den: int) -> pa.Table:
     """A batch's documents: size and fingerprint of the set; for those whose prefix holds shared tokens, minimum hashes, prefix tokens and the set itself."""
     ids = table["doc_id"].to_pylist()
     sets = [token_set(t, words) for t in table["text"].to_pylist()]
     all_tokens = np.concatenate([*sets, np.zeros(0, np.uint64)])
     unique, _, inverse = key_layout(all_tokens, bits, width)
     held = counts_of(unique, width, back)[inverse] if back is not None and back.num_rows else np.ones(len(all_tokens), np.uint64)
-    out = {name: [] for name in ("n", "fp1", "fp2", "keys", "rare", "frequent", "tokens")}
+    out = {name: [] for name in ("n", "fp1", "fp2", "keys", "prefix", "tokens")}
     at, done = 0, set()
     for doc, tokens in zip(ids, sets, strict=True):
         n, df = len(tokens), held[at : at + len(tokens)]
@@ -54,24 +59,23 @@ def describe(table: pa.Table, back: pa.Table | None, bits: int, width: int, word
         raw = tokens.tobytes()
         fp = xxhash.xxh3_128_digest(raw)
         fp1, fp2 = np.frombuffer(fp, "<i8")
-        row = {"n": n, "fp1": int(fp1) if n else None, "fp2": int(fp2) if n else None, "keys": None, "rare": None, "frequent": None, "tokens": None}
+        row = {"n": n, "fp1": int(fp1) if n else None, "fp2": int(fp2) if n else None, "keys": None, "prefix": None, "tokens": None}
         prefix = n - needed(n, num, den) + K
         shared = df > 1
         if n > 1 and n - int(shared.sum()) <= prefix - K and (doc, fp) not in done:
             done.add((doc, fp))
             order = np.lexsort((tokens, df))[:prefix]
-            first, times = tokens[order], df[order]
             some = tokens[shared]
             row |= {
                 "keys": [int(mixed(some ^ np.uint64(s)).min().view(np.int64)) for s in SEEDS], "tokens": raw,
-                "rare": first[(times > 1) & (times <= frequent)].view(np.int64), "frequent": np.sort(first[times > frequent].view(np.int64)),
+                "prefix": tokens[order[df[order] > 1]].view(np.int64),
             }
         for name, value in row.items():
             out[name].append(value)
     long = pa.int64()
     return pa.table({
         "doc_id": pa.array(ids, long), "n": pa.array(out["n"], long), "fp1": pa.array(out["fp1"], long), "fp2": pa.array(out["fp2"], long), "keys": _lists(out["keys"], long),
-        "rare": _lists(out["rare"], long), "frequent": _lists(out["frequent"], long), "tokens": pa.array(out["tokens"], pa.binary()),
+        "prefix": _lists(out["prefix"], long), "tokens": pa.array(out["tokens"], pa.binary()),
     })
 
 
@@ -112,7 +116,93 @@ def spanning(items: DataFrame) -> DataFrame:
     return items.join(wide, "key")
 
 
-def jaccard_components(docs: DataFrame, words: int = 5, num: int = 75, den: int = 100, frequent: int = 32, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
+def overlaps(left: list[np.ndarray], right: list[np.ndarray], width: int = 8192) -> np.ndarray:
+    """How many tokens each of the left sets shares with each of the right, by matrix products over stretches of the tokens that both sides hold."""
+    a, b = np.concatenate(left), np.concatenate(right)
+    both = np.intersect1d(a, b)
+    rows = [np.repeat(np.arange(len(x)), [len(v) for v in x]) for x in (left, right)]
+    out = np.zeros((len(left), len(right)), np.float32)
+    places = [np.searchsorted(both, v) for v in (a, b)]
+    known = [both[np.minimum(at, len(both) - 1)] == v if len(both) else np.zeros(len(v), bool) for at, v in zip(places, (a, b), strict=True)]
+    for start in range(0, len(both), width):
+        parts = []
+        for size, row, at, ok in zip((len(left), len(right)), rows, places, known, strict=True):
+            mine = ok & (at >= start) & (at < start + width)
+            m = np.zeros((size, min(width, len(both) - start)), np.float32)
+            m[row[mine], at[mine] - start] = 1
+            parts.append(m)
+        out += parts[0] @ parts[1].T
+    return out
+
+
+def block_forest(table: pa.Table, num: int, den: int) -> pa.Table:
+    """Two blocks of documents (role 0 and 1; the same one twice as role 2): links between different components, as a spanning forest."""
+    role = table["role"].to_numpy()
+    ids, parts = table["doc_id"].to_numpy(), table["component"].to_numpy()
+    keys = [np.array(k, np.int64) for k in table["keys"].to_pylist()]
+    sets = [np.frombuffer(x, np.uint64) for x in table["tokens"].to_pylist()]
+    left, right = np.flatnonzero(role != 1), np.flatnonzero(role != 0)
+    a, b = [], []
+    if len(left) and len(right):
+        near = overlaps([keys[i] for i in left], [keys[i] for i in right]) >= K
+        size = np.array([len(x) for x in sets], np.int64)
+        x, y = size[left][:, None], size[right][None, :]
+        near &= (parts[left][:, None] != parts[right][None, :]) & (num * np.maximum(x, y) <= den * np.minimum(x, y))
+        rows, cols = np.flatnonzero(near.any(axis=1)), np.flatnonzero(near.any(axis=0))
+        if len(rows) and len(cols):
+            near = near[np.ix_(rows, cols)]
+            both = overlaps([sets[i] for i in left[rows]], [sets[i] for i in right[cols]]).astype(np.int64)
+            met = near & (den * both >= num * (x[rows] + y[:, cols] - both))
+            root: dict[int, int] = {}
+
+            def find(v: int) -> int:
+                while root.setdefault(v, v) != v:
+                    root[v] = v = root[root[v]]
+                return v
+
+            for i, j in zip(*np.nonzero(met), strict=True):
+                u, v = left[rows[i]], right[cols[j]]
+                p, q = find(int(parts[u])), find(int(parts[v]))
+                if p != q:
+                    root[max(p, q)] = min(p, q)
+                    a.append(ids[u])
+                    b.append(ids[v])
+    return pa.table({"a": pa.array(a, pa.int64()), "b": pa.array(b, pa.int64())})
+
+
+def cluster_links(entries: DataFrame, sets: DataFrame, num: int, den: int, block: int = 256) -> DataFrame:
+    """Links between documents that share two of the entries' keys. entries: (doc_id, component, n, key), two for each document at least.
+
+    Clusters hold what keys connect. Sizes fall into classes so wide that linked sets lie in one class or in neighbouring ones; a class is cut into blocks
+    by hash, and blocks of one class and of neighbouring classes meet in pairs."""
+    first = entries.groupBy("key").agg(F.min("doc_id").alias("a"))
+    stars = entries.join(first, "key").filter("doc_id <> a").select("a", F.col("doc_id").alias("b")).distinct()
+    cluster = components(stars, "clusters").select(F.col("node").alias("doc_id"), F.col("component").alias("cluster"))
+    docs = entries.groupBy("doc_id", "component", "n").agg(F.sort_array(F.collect_set("key")).alias("keys")).join(cluster, "doc_id")
+    docs = saved(docs.withColumn("kind", F.floor(F.log(F.col("n").cast("double")) / math.log(den / num * 1.005)).cast("int")), "clusters")
+    count = docs.groupBy("cluster", "kind").agg(F.ceil(F.count("*") / block).cast("int").alias("blocks"))
+    after = count.select("cluster", (F.col("kind") - 1).alias("kind"), F.col("blocks").alias("after"))
+    before = count.select("cluster", (F.col("kind") + 1).alias("kind"), F.col("blocks").alias("before"))
+    size = count.join(after, ["cluster", "kind"], "left").join(before, ["cluster", "kind"], "left").na.fill(0, ["after", "before"])
+    dealt = docs.join(size, ["cluster", "kind"]).withColumn("own", F.pmod(F.xxhash64("doc_id"), F.col("blocks")).cast("int"))
+
+    def meets(low, high, make):
+        return F.transform(F.when(low <= high, F.sequence(low, high)).otherwise(F.array().cast("array<int>")), make)
+
+    def pair(kind, a, other, b, role):
+        return F.struct(kind.alias("k0"), a.alias("b0"), other.alias("k1"), b.alias("b1"), role.alias("role"))
+
+    kind, own, zero = F.col("kind"), F.col("own"), F.lit(0)
+    same = meets(own, F.col("blocks") - 1, lambda j: pair(kind, own, kind, j, F.when(j == own, 2).otherwise(0)))
+    smaller = meets(zero, own - 1, lambda j: pair(kind, j, kind, own, F.lit(1)))
+    up = meets(zero, F.col("after") - 1, lambda j: pair(kind, own, kind + 1, j, F.lit(0)))
+    down = meets(zero, F.col("before") - 1, lambda j: pair(kind - 1, j, kind, own, F.lit(1)))
+    rows = dealt.join(sets.select("doc_id", "tokens"), "doc_id").withColumn("p", F.explode(F.concat(same, smaller, up, down)))
+    rows = rows.select("cluster", "p.k0", "p.b0", "p.k1", "p.b1", "p.role", "doc_id", "component", "keys", "tokens")
+    return rows.groupBy("cluster", "k0", "b0", "k1", "b1").applyInArrow(lambda t: block_forest(t, num, den), "a long, b long")
+
+
+def jaccard_components(docs: DataFrame, words: int = 5, num: int = 75, den: int = 100, rare: int = 8, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
     """Per row of docs: doc_id, n_shingles, component_id (smallest doc_id reachable by links with den * intersection >= num * union).
 
     Words are lower-cased (A-Z) runs of non-white space; a set holds the distinct shingles, the whole sequence where words are fewer. Null and empty texts
@@ -125,11 +215,11 @@ def jaccard_components(docs: DataFrame, words: int = 5, num: int = 75, den: int
         return np.concatenate([*[token_set(t, words) for t in raw], np.zeros(0, np.uint64)])
 
     counts = corpus_counts(texts, keys, bits, width)
-    told = texts.groupBy("batch").cogroup(counts.groupBy("batch")).applyInArrow(lambda t, back: describe(t, back, bits, width, words, num, den, frequent), SET_SCHEMA)
+    told = texts.groupBy("batch").cogroup(counts.groupBy("batch")).applyInArrow(lambda t, back: describe(t, back, bits, width, words, num, den), SET_SCHEMA)
     told = saved(told, "sets")
     classes = told.filter("n > 0 and doc_id is not null").groupBy("fp1", "fp2").agg(F.min("doc_id").alias("rep"), F.count("*").alias("held"))
     sets = told.filter("tokens is not null").join(classes.select(F.col("rep").alias("doc_id"), "fp1", "fp2"), ["doc_id", "fp1", "fp2"], "left_semi")
-    sets = saved(sets.select("doc_id", "n", "keys", "rare", "frequent", "tokens"), "sets")
+    sets = saved(sets.select("doc_id", "n", "keys", "prefix", "tokens"), "sets")
 
     keyed = sets.select("doc_id", F.explode("keys").alias("key"))
     hubs = keyed.groupBy("key").agg(F.min("doc_id").alias("a"), F.count("*").alias("c")).filter("c > 1").select("key", "a")
@@ -137,15 +227,14 @@ def jaccard_components(docs: DataFrame, words: int = 5, num: int = 75, den: int
     links = saved(verified(pairs, sets, num, den), "links")
     parts = components(links)
 
-    now = sets.select("doc_id", "n", "rare", "frequent").join(parts.withColumnRenamed("node", "doc_id"), "doc_id", "left").withColumn("component", F.coalesce("component", "doc_id"))
+    now = sets.select("doc_id", "n", "prefix").join(parts.withColumnRenamed("node", "doc_id"), "doc_id", "left").withColumn("component", F.coalesce("component", "doc_id"))
     now = saved(now, "parts")
-    single = spanning(now.select("doc_id", "component", "n", F.explode("rare").alias("key")))
-    often = spanning(now.select("doc_id", "component", "n", F.explode("frequent").alias("key")))
-    often = often.groupBy("doc_id", "component", "n").agg(F.sort_array(F.collect_set("key")).alias("keys")).filter(F.size("keys") >= K)
-    combined = F.expr("flatten(transform(keys, (x, i) -> transform(slice(keys, i + 2, size(keys)), y -> xxhash64(x, y))))")
-    double = spanning(often.select("doc_id", "component", "n", F.explode(combined).alias("key")))
-    found = index_pairs(single, num, den).union(index_pairs(double, num, den)).distinct()
-    links = links.union(verified(saved(found, "pairs"), sets, num, den))
+    held = saved(spanning(now.select("doc_id", "component", "n", F.explode("prefix").alias("key"))), "index")
+    sizes = held.groupBy("key").agg(F.count("*").alias("c"))
+    found = index_pairs(held.join(sizes.filter(F.col("c") <= rare), "key").drop("c"), num, den).distinct()
+    often = held.join(sizes.filter(F.col("c") > rare), "key").drop("c")
+    often = saved(often.join(often.groupBy("doc_id").agg(F.count("*").alias("c")).filter(F.col("c") >= K).select("doc_id"), "doc_id"), "frequent")
+    links = links.union(verified(saved(found, "pairs"), sets, num, den)).union(saved(cluster_links(often, sets, num, den), "links"))
     parts = components(links)
     named = classes.join(parts, classes["rep"] == parts["node"], "left").filter("held > 1 or component is not null").select("fp1", "fp2", F.coalesce("component", "rep").alias("component_id"))
     out = told.select("doc_id", "n", "fp1", "fp2").join(named, ["fp1", "fp2"], "left")
