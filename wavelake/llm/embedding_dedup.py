@@ -1,14 +1,17 @@
 """Near-duplicate embeddings by an inverted multi-index.
 
 Vectors are scaled to length 1 and cut into halves, each with its own codebook; the product grid of the two codebooks is the index. A pair with cosine c or
-more is at most sqrt(2 - 2c) apart. For a query, the distance of its half to a codebook's Voronoi cell is bounded below by the bisector between that
-centre and its nearest one. The traversal visits cells by the sum of both halves' squared bounds, the smallest first, and stops where the sum exceeds the
-squared radius: no pair can lie further, so the target recall is 1. Cells' vectors are then compared exactly, in double precision.
+more is at most r = sqrt(2 - 2c) apart. A neighbour lies in another cell only if the step to it crosses the bisectors between that cell's centres and the
+query's nearest ones, so the squared distances to both bisectors bound its cost. The traversal visits cells by the sum of both halves' bounds, the smallest
+first. The share of a step of length r in any two directions of n dimensions, squared and summed, exceeds s with probability exp(-s n / 2 r^2) for random
+steps, so it stops at s = min(r^2, r^2 ln(1 / (1 - recall)) 2 / n): at r^2 no neighbour can be missed. Cells' vectors are then compared exactly, in double
+precision. Of two cells only the one with the smaller number asks the other, so both ends of a pair know the same.
 """
 
 from __future__ import annotations
 
 import heapq
+import math
 
 import numpy as np
 import pyarrow as pa
@@ -75,14 +78,15 @@ def unit(vectors: list) -> np.ndarray:
 
 
 def block_links(table: pa.Table, least: float) -> pa.Table:
-    """Queries (role 1) against a cell's vectors (role 0): how many vectors each links with, and a spanning forest of the links."""
+    """Queries of the cell itself (role 1) and of others (role 2) against a cell's vectors (role 0): how many vectors each links with, and a spanning forest
+    of the links. A pair inside a cell is met from both ends, a pair of two cells from one, which then counts for both."""
     role, ids, weight = table["role"].to_numpy(), table["vec_id"].to_numpy(), table["held"].to_numpy()
     x = np.frombuffer(b"".join(table["unit"].to_pylist()), np.float64).reshape(len(ids), -1)
-    q, d = np.flatnonzero(role == 1), np.flatnonzero(role == 0)
+    q, d = np.flatnonzero(role > 0), np.flatnonzero(role == 0)
     if not len(q) or not len(d):
         return pa.table({"vec_id": pa.array([], pa.int64()), "links": pa.array([], pa.int64()), "root": pa.array([], pa.int64())})
     met = (x[q] @ x[d].T >= least) & (ids[q][:, None] != ids[d][None, :])
-    links = met @ weight[d]
+    links, other = met @ weight[d], weight[q] * (role[q] == 2) @ met
     left, right = ids[q].copy(), ids[d].copy()
     top = np.iinfo(np.int64).max
     while True:
@@ -92,13 +96,13 @@ def block_links(table: pa.Table, least: float) -> pa.Table:
             break
         left, right = new_left, new_right
     rows = [(ids[q], links, left)]
-    rows.append((ids[d], np.zeros(len(d), np.int64), right))
+    rows.append((ids[d], other, right))
     v, n, r = (np.concatenate(c) for c in zip(*rows, strict=True))
     some = (n > 0) | (v != r)
     return pa.table({"vec_id": pa.array(v[some], pa.int64()), "links": pa.array(n[some], pa.int64()), "root": pa.array(r[some], pa.int64())})
 
 
-def embedding_components(df: DataFrame, least: float = 0.98, size: int = 32, block: int = 1024, vec_id: str = "vec_id", label: str = "label", embedding: str = "embedding") -> DataFrame:
+def embedding_components(df: DataFrame, least: float = 0.98, recall: float = 0.9999, size: int = 16, block: int = 1024, vec_id: str = "vec_id", label: str = "label", embedding: str = "embedding") -> DataFrame:
     """Per row: vec_id, n_links, component_id, kept, for links of equal non-null labels with cosine >= least.
 
     Null, empty and zero vectors, and those with null or non-finite components, link with nothing; so do rows with a null label. Vectors of different
@@ -121,10 +125,11 @@ def embedding_components(df: DataFrame, least: float = 0.98, size: int = 32, blo
         sample = reps.filter(F.size("embedding") == n).orderBy(F.xxhash64("vec_id")).limit(SAMPLE).select("embedding").collect()
         grids[n] = Grid(unit([r[0] for r in sample]), size) if n > 1 else None
     send = spark.sparkContext.broadcast(grids)
-    most = (2 - 2 * least) * (1 + 1e-9) + 1e-9
+    radius = (2 - 2 * least) * (1 + 1e-9) + 1e-9
 
     def place(batches):
-        for batch in batches:
+        for whole, a in ((w, a) for w in batches for a in range(0, w.num_rows, 512)):
+            batch = whole.slice(a, 512)
             ids, labels, held = batch["vec_id"].to_pylist(), batch["label"].to_pylist(), batch["held"].to_pylist()
             vectors = batch["embedding"].to_pylist()
             rows = {c: [] for c in ("vec_id", "label", "cell", "role", "held", "unit")}
@@ -132,23 +137,24 @@ def embedding_components(df: DataFrame, least: float = 0.98, size: int = 32, blo
                 mine = [i for i, v in enumerate(vectors) if len(v) == n]
                 x, grid = unit([vectors[i] for i in mine]), send.value.get(n)
                 halves = grid.bounds(x) if grid else None
+                most = radius * min(1.0, math.log(1 / (1 - recall)) * 2 / n)
                 for k, i in enumerate(mine):
                     own, visited = 0, [0]
                     if grid:
                         (na, a), (nb, b) = halves
                         own, visited = int(na[k]) * b.shape[1] + int(nb[k]), grid.cells(a[k], b[k], most)
-                    for cell, role in [(own, 0), *[(c, 1) for c in visited]]:
+                    for cell, role in [(own, 0), (own, 1), *[(c, 2) for c in visited if c > own]]:
                         for c, v in zip(rows, (ids[i], labels[i], cell, role, held[i], x[k].tobytes()), strict=True):
                             rows[c].append(v)
             kinds = {"vec_id": pa.int64(), "label": pa.string(), "cell": pa.int64(), "role": pa.int32(), "held": pa.int64(), "unit": pa.binary()}
             yield pa.RecordBatch.from_pydict({c: pa.array(v, kinds[c]) for c, v in rows.items()})
 
     placed = saved(reps.mapInArrow(place, "vec_id long, label string, cell long, role int, held long, unit binary"), "placed")
-    count = placed.groupBy("label", "cell").agg(*[F.ceil(F.greatest(F.lit(1), F.sum((F.col("role") == r).cast("long"))) / block).cast("int").alias(f"n{r}") for r in (0, 1)], F.max(1 - F.col("role")).alias("any")).filter("any = 1").drop("any")
+    count = placed.groupBy("label", "cell").agg(*[F.ceil(F.greatest(F.lit(1), F.sum((F.least("role", F.lit(1)) == r).cast("long"))) / block).cast("int").alias(f"n{r}") for r in (0, 1)], F.max((F.col("role") == 0).cast("int")).alias("any")).filter("any = 1").drop("any")
     mine = F.pmod(F.xxhash64("vec_id"), F.when(F.col("role") == 0, F.col("n0")).otherwise(F.col("n1"))).cast("int")
     dealt = placed.join(count, ["label", "cell"]).withColumn("mine", mine)
     dealt = dealt.withColumn("other", F.explode(F.sequence(F.lit(0), F.when(F.col("role") == 0, F.col("n1")).otherwise(F.col("n0")) - 1)))
-    dealt = dealt.select("vec_id", "label", "cell", "role", "held", "unit", F.when(F.col("role") == 0, F.col("mine")).otherwise(F.col("other")).alias("block"), F.when(F.col("role") == 1, F.col("mine")).otherwise(F.col("other")).alias("queries"))
+    dealt = dealt.select("vec_id", "label", "cell", "role", "held", "unit", F.when(F.col("role") == 0, F.col("mine")).otherwise(F.col("other")).alias("block"), F.when(F.col("role") > 0, F.col("mine")).otherwise(F.col("other")).alias("queries"))
     found = saved(dealt.groupBy("label", "cell", "block", "queries").applyInArrow(lambda t: block_links(t, least), "vec_id long, links long, root long"), "links")
     parts = components(found.filter("vec_id <> root").select(F.col("vec_id").alias("a"), F.col("root").alias("b")))
     links = found.groupBy("vec_id").agg(F.sum("links").alias("links"))
