@@ -161,12 +161,15 @@ def morlet(frequency: float, srate: float, cycles: float = 7.0) -> np.ndarray:
     return w / np.sqrt((np.abs(w) ** 2).sum() / 2)
 
 
-def cross_spectrum(x: np.ndarray, srate: float) -> tuple[np.ndarray, np.ndarray]:
-    """One Hann segment over all samples, mean removed: frequencies, and density (channel, channel, frequency)."""
+def cross_spectrum(x: np.ndarray, srate: float, points: int | None = None) -> tuple[np.ndarray, np.ndarray]:
+    """One Hann segment over all samples, mean removed, zero-padded to points: frequencies, and density (channel, channel, frequency)."""
     n = len(x)
-    w = 0.5 - 0.5 * np.cos(2 * np.pi * np.arange(n) / n)
-    f = np.fft.fft((x - x.mean(axis=0)) * w[:, None], axis=0)
-    return np.fft.fftfreq(n, 1 / srate), np.einsum("fi,fj->ijf", np.conj(f), f) / (srate * (w**2).sum())
+    points = points or n
+    if points < n:
+        raise ValueError("points must not be fewer than the samples")
+    w = 0.5 - 0.5 * np.cos(2 * np.pi * np.arange(n) / n) if n > 1 else np.ones(n)
+    f = np.fft.fft((x - x.mean(axis=0)) * w[:, None], points, axis=0)
+    return np.fft.fftfreq(points, 1 / srate), np.einsum("fi,fj->ijf", np.conj(f), f) / (srate * (w**2).sum())
 
 
 def gammatone(x: np.ndarray, srate: float, centre: float, rectify: bool = False) -> dict[str, np.ndarray]:

@@ -140,13 +140,14 @@ def rate_map(df: DataFrame, column: str, srate: float, key: list[str], t: str =
     return out.withColumn("value", compress(F.col("value"), how))
 
 
-def cross_spectra(df: DataFrame, columns: list[str], srate: float, key: list[str], t: str = "t") -> DataFrame:
-    """(key, src, dst, freq, re, im) of one Hann segment of each recording, src <= dst."""
+def cross_spectra(df: DataFrame, columns: list[str], srate: float, key: list[str], t: str = "t", points: int | None = None) -> DataFrame:
+    """(key, src, dst, freq, re, im) of one Hann segment of each recording, src <= dst. Recordings of different lengths share frequencies where points, at
+    least the longest one's samples, pads them with zeros."""
     kinds = dict(df.dtypes)
 
     def run(pdf: pd.DataFrame) -> pd.DataFrame:
         pdf = pdf.sort_values(t)
-        freq, s = nm.cross_spectrum(pdf[columns].to_numpy(float), srate)
+        freq, s = nm.cross_spectrum(pdf[columns].to_numpy(float), srate, points)
         rows = [(*[pdf[k].iloc[0] for k in key], i, j, f, s[i, j, m].real, s[i, j, m].imag) for i in range(len(columns)) for j in range(i, len(columns)) for m, f in enumerate(freq)]
         return pd.DataFrame(rows, columns=[*key, "src", "dst", "freq", "re", "im"])
 

@@ -671,6 +671,56 @@ def plm_small(spark, sf):
     return cn.phase_linearity(head(spark, sf, N), ["x", "y"], 13.0, 100.0, KEY).withColumn("plm", rounded("plm", 5))
 
 
+# The four queries above read the first N samples, as their SQL does; those below take every recording whole, with its own count n.
+
+
+def _dft_whole(grid: str) -> str:
+    """Spectra of one Hann segment over each recording's n samples, on m frequencies (grid: of max(n))."""
+    turn = f"2 * {PI} * k * t / m"
+    return f"""{EV}, wn AS (SELECT recording, t, x - avg(x) OVER r AS x, y - avg(y) OVER r AS y, count(*) OVER r AS n FROM ev WINDOW r AS (PARTITION BY recording)),
+ hw AS (SELECT *, CASE WHEN n = 1 THEN 1.0 ELSE 0.5 - 0.5 * cos(2 * {PI} * t / n) END AS w FROM wn), gr AS (SELECT recording, 100.0 * sum(w * w) AS d, {grid} AS m FROM hw GROUP BY 1), k AS (SELECT recording, d, m, unnest(range(0, m)) AS k FROM gr),
+ ft AS (SELECT recording, k, m, d, sum(w * x * cos({turn})) AS xr, -sum(w * x * sin({turn})) AS xi, sum(w * y * cos({turn})) AS yr, -sum(w * y * sin({turn})) AS yi FROM hw JOIN k USING (recording) GROUP BY 1, 2, 3, 4),
+ cs AS (SELECT recording, (CASE WHEN 2 * k < m THEN k ELSE k - m END) * (1.0 / (m * 0.01::DOUBLE)) AS freq, xr, xi, yr, yi, d FROM ft)"""
+
+
+@query(f"""WITH {_dft_whole('max(n)')} SELECT recording, 0 AS src, 0 AS dst, {rsql('freq', 4)} AS freq, {rsql('(xr * xr + xi * xi) / d', 4)} AS re, 0.0::DOUBLE AS im FROM cs
+ UNION ALL SELECT recording, 0, 1, {rsql('freq', 4)}, {rsql('(xr * yr + xi * yi) / d', 4)}, {rsql('(xr * yi - xi * yr) / d', 4)} FROM cs UNION ALL SELECT recording, 1, 1, {rsql('freq', 4)}, {rsql('(yr * yr + yi * yi) / d', 4)}, 0.0 FROM cs""")
+def csd_whole(spark, sf):
+    out = spectral.cross_spectra(events(spark, sf), ["x", "y"], 100.0, KEY)
+    return out.select("recording", "src", "dst", rounded("freq", 4).alias("freq"), rounded("re", 4).alias("re"), rounded("im", 4).alias("im"))
+
+
+@query(f"""WITH {_dft_whole('max(max(n)) OVER ()')}, f AS (SELECT freq, sum((xr * yi - xi * yr) / d) AS s, sum(abs((xr * yi - xi * yr) / d)) AS a FROM cs WHERE freq > 4 AND freq < 30 GROUP BY 1) SELECT 0 AS src, 1 AS dst, {rsql('avg(s / nullif(a, 0))')} AS wpli FROM f""")
+def wpli_whole(spark, sf):
+    df = events(spark, sf)
+    longest = df.agg(F.max("t")).first()[0]  # trials of any length meet on the longest one's frequencies
+    out = spectral.cross_spectra(df, ["x", "y"], 100.0, KEY, points=None if longest is None else longest + 1)
+    return cn.wpli(out, 4.0, 30.0).withColumn("wpli", rounded("wpli"))
+
+
+def _analytic_whole(c: str, name: str) -> str:
+    """The Hilbert kernel of n points: 2 / n * cot(pi d / n) at odd d for even n, (cot(pi d / n) - (-1)^d / sin(pi d / n)) / n for odd n."""
+    turn = f"({PI} * (a.t - b.t) / a.n)"
+    kernel = f"CASE WHEN a.t = b.t OR (a.n % 2 = 0 AND (a.t - b.t) % 2 = 0) THEN 0 WHEN a.n % 2 = 0 THEN 2.0 / a.n / tan{turn} ELSE (1 / tan{turn} - (CASE WHEN (a.t - b.t) % 2 = 0 THEN 1 ELSE -1 END) / sin{turn}) / a.n END"
+    return f"{name} AS (SELECT a.recording, a.t, a.n, a.{c} AS re, sum(b.{c} * {kernel}) AS im FROM en a JOIN en b ON a.recording = b.recording GROUP BY a.recording, a.t, a.n, a.{c})"
+
+
+_EN = f"{EV}, en AS (SELECT recording, t, x, y, count(*) OVER (PARTITION BY recording) AS n FROM ev)"
+
+
+@query(f"WITH {_EN}, {_analytic_whole('x', 'z')} SELECT recording, t, {rsql('re')} AS re, {rsql('im')} AS im, {rsql('sqrt(re * re + im * im)')} AS amplitude FROM z")
+def hilbert_whole(spark, sf):
+    return spectral.hilbert(events(spark, sf), "x", KEY).select("recording", "t", *[rounded(c).alias(c) for c in ("re", "im", "amplitude")])
+
+
+@query(f"""WITH {_EN}, {_analytic_whole('x', 'z1')}, {_analytic_whole('y', 'z2')}, c AS (SELECT z1.recording, z1.t, z1.n, z1.re * z2.re + z1.im * z2.im AS a, z1.im * z2.re - z1.re * z2.im AS b FROM z1 JOIN z2 ON z1.recording = z2.recording AND z1.t = z2.t),
+ u AS (SELECT recording, t, n, coalesce(a / nullif(sqrt(a * a + b * b), 0), 0) AS a, coalesce(b / nullif(sqrt(a * a + b * b), 0), 0) AS b FROM c), k AS (SELECT recording, unnest(range(0, max(n))) AS k FROM u GROUP BY 1),
+ p AS (SELECT recording, k, n, CASE WHEN k = 0 THEN 0 ELSE pow(sum(a * cos(2 * {PI} * k * t / n) + b * sin(2 * {PI} * k * t / n)), 2) + pow(sum(b * cos(2 * {PI} * k * t / n) - a * sin(2 * {PI} * k * t / n)), 2) END AS p FROM u JOIN k USING (recording) GROUP BY 1, 2, 3)
+ SELECT recording, 'x' AS src, 'y' AS dst, {rsql("sum(CASE WHEN abs(CASE WHEN 2 * k < n THEN k ELSE k - n END) * (1.0 / (n * 0.01::DOUBLE)) < 13 THEN p ELSE 0 END) / nullif(sum(p), 0)", 5)} AS plm FROM p GROUP BY 1""")
+def plm_whole(spark, sf):
+    return cn.phase_linearity(events(spark, sf), ["x", "y"], 13.0, 100.0, KEY).withColumn("plm", rounded("plm", 5))
+
+
 # ---- filters
 
 TAPS = [0.1, 0.2, 0.4, 0.2, 0.1]
@@ -722,7 +772,7 @@ def filterbank_chebyshev(spark, sf):
 
 @query()
 def gammatone(spark, sf):
-    out = spectral.gammatone(head(spark, sf, 48), "x", 4000.0, 400.0, KEY)
+    out = spectral.gammatone(events(spark, sf), "x", 4000.0, 400.0, KEY)
     return out.select("recording", "t", *[rounded(c).alias(c) for c in ("displacement", "envelope", "frequency")])
 
 
@@ -822,7 +872,7 @@ def paired_t(spark, sf):
 
 @query()
 def cochleogram(spark, sf):
-    out = spectral.rate_map(head(spark, sf, 40), "x", 16000.0, KEY, low=80.0, high=8000.0, channels=32, shift=1.0)
+    out = spectral.rate_map(events(spark, sf), "x", 16000.0, KEY, low=80.0, high=8000.0, channels=32, shift=1.0)
     return out.select("recording", "channel", "frame", rounded("value").alias("value"))
 
 
