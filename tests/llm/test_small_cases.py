@@ -172,6 +172,21 @@ def test_decontamination(spark, docs, empty):
     assert kept.columns == docs.columns and not {d for d, _ in want if d} & {r["doc_id"] for r in kept.collect()}
 
 
+def test_decontamination_of_texts_shorter_than_the_item(spark):
+    items = [(1, prose(38, 21)), (2, prose(59, 22)), (3, "a b c d e f")]
+    one, two = items[0][1].split(" "), items[1][1].split(" ")
+    cuts = [one[:-1], one[:-3], one[3:], one[:19] + one[20:], one[:31], one[:30], one[:20], two[:30] + two[31:], two[:48], two[:40], ["a", "b", "c", "d", "e"], ["x", *one[:-2]], one[:4], prose(37, 23).split(" ")]
+    rows = [(d, " ".join(w)) for d, w in enumerate(cuts)]
+    want = {(d, i): weighted(shingled(words(t)), shingled(words(x))) for d, t in rows for i, x in items if len(words(t)) < len(words(x))}
+    want = {at: v for at, v in want.items() if v >= 0.75}
+    assert {d for d, _ in want} >= {0, 1, 2, 3, 7, 8, 11} and not {d for d, _ in want} & {6, 9, 10, 12, 13}
+    docs, bench = spark.createDataFrame(rows, "doc_id long, text string"), spark.createDataFrame(items, "item_id long, text string")
+    found = decontaminate.contamination(docs, bench).collect()
+    assert {(r["doc_id"], r["item_id"]) for r in found} == set(want)
+    assert all(r["similarity"] == pytest.approx(want[r["doc_id"], r["item_id"]]) and r["first_word"] == 0 and r["n_words"] == len(cuts[r["doc_id"]]) for r in found)
+    assert {r["doc_id"] for r in decontaminate.clean(docs, bench).collect()} == set(range(len(cuts))) - {d for d, _ in want}
+
+
 def test_multi_index_holds_all_within_radius():
     g = decontaminate.Items(10, 5)
     for i in range(200):

@@ -95,16 +95,17 @@ class Index:
         return out
 
     def _windows(self, g: Items, grams: np.ndarray, anchors: np.ndarray, least: float) -> list[tuple[int, int, int, float]]:
-        s = g.length - g.k + 1  # shingles of a window
-        last = len(grams) - s
-        if last < 0:
+        whole = g.length - g.k + 1  # shingles of the item
+        s = min(whole, len(grams))  # shingles of a window: a text shorter than the item is one window
+        if s < least * whole - 1e-9:  # too short to be similar at all
             return []
+        last = len(grams) - s
         mark = np.zeros(len(grams) + 1, np.int32)
         np.add.at(mark, np.clip(anchors - s + 1, 0, None), 1)
         np.add.at(mark, anchors + 1, -1)
         starts = np.flatnonzero(np.cumsum(mark[: last + 1]) > 0)
         # of what both multisets hold, similarity asks for this many shingles
-        most = int(np.ceil(2 * least * s / (1 + least) - 1e-9))
+        most = int(np.ceil(least * (s + whole) / (1 + least) - 1e-9))
         hits = np.zeros(len(grams) + 1, np.int64)
         hits[anchors + 1] = 1
         hits = np.cumsum(hits)
@@ -124,7 +125,7 @@ class Index:
                     best = found.get(int(i), (0.0, 0))
                     if best[0] < 1 and (similar := self._similarity(g, int(i), grams[x : x + s])) >= least and similar > best[0]:
                         found[int(i)] = (similar, int(x))
-        return [(g.ids[i], x, g.length, similar) for i, (similar, x) in found.items()]
+        return [(g.ids[i], x, s + g.k - 1, similar) for i, (similar, x) in found.items()]
 
     @staticmethod
     def _similarity(g: Items, i: int, window: np.ndarray) -> float:
@@ -140,8 +141,8 @@ SCHEMA = "doc_id long, item_id long, first_word long, n_words int, similarity do
 def contamination(docs: DataFrame, benchmark: DataFrame, least: float = 0.75, k: int = 5, block_bytes: int = 8 << 20, doc_id: str = "doc_id", text: str = "text", item_id: str = "item_id", item_text: str = "text") -> DataFrame:
     """Benchmark items found in documents: doc_id, item_id, first_word, n_words, similarity (best window, the first on ties); clean documents give no row.
 
-    Windows as long as the item slide over every whole text; weights are how often a shingle occurs, similarity is sum of minima over sum of maxima. Items go
-    in blocks of about block_bytes, each a pass over the documents, so what a pass sends to the executors is bounded. Null and empty texts or items match
+    Windows as long as the item slide over every whole text, and a text with fewer words than the item is one window (n_words is the window's); weights are how
+    often a shingle occurs, similarity is sum of minima over sum of maxima. Items go in blocks of about block_bytes, each a pass over the documents, so what a pass sends to the executors is bounded. Null and empty texts or items match
     nothing; equal items and repeated rows give a row each; empty tables give none.
     """
     spark = docs.sparkSession
