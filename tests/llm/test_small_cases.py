@@ -187,6 +187,18 @@ def test_decontamination_of_texts_shorter_than_the_item(spark):
     assert {r["doc_id"] for r in decontaminate.clean(docs, bench).collect()} == set(range(len(cuts))) - {d for d, _ in want}
 
 
+def test_clean_judges_rows_without_or_with_repeated_ids(spark):
+    item, rest = prose(45, 31), prose(50, 32)
+    rows = [(None, rest + " " + item), (None, rest), (1, item), (1, rest), (2, None), (3, ""), (4, prose(45, 33))]
+    docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(2)
+    bench = spark.createDataFrame([(1, item), (2, prose(45, 33)), (3, prose(30, 34))], "item_id long, text string")
+    for block in (8 << 20, 400):
+        kept = decontaminate.clean(docs, bench, block_bytes=block)
+        assert kept.columns == docs.columns and kept.dtypes == docs.dtypes
+        assert sorted(map(str, map(tuple, kept.collect()))) == sorted(map(str, [(None, rest), (1, rest), (2, None), (3, "")]))
+    assert decontaminate.clean(docs, bench.limit(0)).count() == len(rows) and decontaminate.clean(docs.limit(0), bench).count() == 0
+
+
 def test_multi_index_holds_all_within_radius():
     g = decontaminate.Items(10, 5)
     for i in range(200):

@@ -3,9 +3,11 @@
 from __future__ import annotations
 
 import functools
+from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+from pyspark import Broadcast
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -135,6 +137,16 @@ class Index:
         return float(both) / float(len(window) + count.sum() - both)
 
 
+def indexes(benchmark: DataFrame, k: int, block_bytes: int, item_id: str, item_text: str) -> Iterator[Broadcast]:
+    """The benchmark's items as broadcast indexes of about block_bytes of text each; one at least."""
+    items = benchmark.select(F.col(item_id).cast("long").alias("item_id"), F.coalesce(F.col(item_text), F.lit("")).cast("binary").alias("text"))
+    total = items.agg(F.sum(F.octet_length("text") + 32).alias("b")).first()["b"] or 0
+    blocks = max(1, -(-total // block_bytes))
+    for b in range(blocks):
+        part = items.filter(F.pmod(F.xxhash64("item_id", "text"), F.lit(blocks)) == b).orderBy("item_id").collect()
+        yield benchmark.sparkSession.sparkContext.broadcast(Index([(r["item_id"], bytes(r["text"])) for r in part], k))
+
+
 SCHEMA = "doc_id long, item_id long, first_word long, n_words int, similarity double"
 
 
@@ -145,16 +157,10 @@ def contamination(docs: DataFrame, benchmark: DataFrame, least: float = 0.75, k:
     often a shingle occurs, similarity is sum of minima over sum of maxima. Items go in blocks of about block_bytes, each a pass over the documents, so what a pass sends to the executors is bounded. Null and empty texts or items match
     nothing; equal items and repeated rows give a row each; empty tables give none.
     """
-    spark = docs.sparkSession
-    small_batches(spark)
-    items = benchmark.select(F.col(item_id).cast("long").alias("item_id"), F.coalesce(F.col(item_text), F.lit("")).cast("binary").alias("text"))
-    total = items.agg(F.sum(F.octet_length("text") + 32).alias("b")).first()["b"] or 0
-    blocks = max(1, -(-total // block_bytes))
+    small_batches(docs.sparkSession)
     rows = docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.col(text).cast("binary").alias("text")).filter("text is not null")
     out = None
-    for b in range(blocks):
-        part = items.filter(F.pmod(F.xxhash64("item_id", "text"), F.lit(blocks)) == b).orderBy("item_id").collect()
-        index = spark.sparkContext.broadcast(Index([(r["item_id"], bytes(r["text"])) for r in part], k))
+    for index in indexes(benchmark, k, block_bytes, item_id, item_text):
 
         def search(batches, index=index):
             ix = index.value
@@ -169,7 +175,18 @@ def contamination(docs: DataFrame, benchmark: DataFrame, least: float = 0.75, k:
     return out
 
 
-def clean(docs: DataFrame, benchmark: DataFrame, **options) -> DataFrame:
-    """The rows of docs that hold no benchmark item: the pipeline's stage."""
-    bad = contamination(docs, benchmark, **options).select(F.col("doc_id").alias("__id")).distinct()
-    return docs.join(bad, docs["doc_id"].cast("long") == bad["__id"], "left_anti")
+def clean(docs: DataFrame, benchmark: DataFrame, least: float = 0.75, k: int = 5, block_bytes: int = 8 << 20, text: str = "text", item_id: str = "item_id", item_text: str = "text") -> DataFrame:
+    """The rows of docs that hold no benchmark item: the pipeline's stage. Each row is judged by its own text, in place, so ids may be null or repeated."""
+    small_batches(docs.sparkSession)
+    out = docs
+    for index in indexes(benchmark, k, block_bytes, item_id, item_text):
+
+        def keep(batches, index=index):
+            ix = index.value
+            for batch in batches:
+                part = batch.filter(pa.array([t is None or not ix.search(t, least) for t in batch[text].cast(pa.binary()).to_pylist()], pa.bool_()))
+                if part.num_rows:
+                    yield part
+
+        out = out.mapInArrow(keep, docs.schema)
+    return out
