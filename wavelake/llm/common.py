@@ -7,6 +7,7 @@ import functools
 import operator
 import tempfile
 import uuid
+import weakref
 
 import numpy as np
 import pyarrow as pa
@@ -17,15 +18,20 @@ from pyspark.sql import functions as F
 #: Java regex of a word: a run of anything but ASCII white space.
 WORD = r"[^\x20\x09-\x0D]+"
 _LIVE: set[str] = set()
+#: Where a saved() table lies, by its DataFrame.
+_PATH: weakref.WeakKeyDictionary[DataFrame, str] = weakref.WeakKeyDictionary()
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share: spark.checkpoint.dir, or one of our own where that is unset (tests)."""
+    """The folder that driver and executors share: spark.checkpoint.dir. Where that is unset, one of our own, but only in local mode, where all is one machine."""
     configured = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
     if configured:
         return configured.rstrip("/")
     current = spark.sparkContext.getCheckpointDir()
     if current is None:
+        master = spark.sparkContext.master or ""
+        if master != "local" and not master.startswith("local["):
+            raise RuntimeError("spark.checkpoint.dir must name a folder that the driver and all executors share")
         spark.sparkContext.setCheckpointDir(tempfile.mkdtemp(prefix="wavelake-"))
         current = spark.sparkContext.getCheckpointDir()
     return current.rstrip("/")
@@ -45,27 +51,34 @@ def _remove_all() -> None:
     if spark is None:
         return
     try:
-        jvm, conf = spark.sparkContext._jvm, spark.sparkContext._jsc.hadoopConfiguration()
         for path in _LIVE:
-            where = jvm.org.apache.hadoop.fs.Path(path)
-            where.getFileSystem(conf).delete(where, True)
+            _remove(spark, path)
     except Exception:  # the JVM is gone; the folder is the cluster's scratch space
         return
 
 
-def small_batches(spark: SparkSession, rows: int = 1_000) -> None:
-    """Fewer rows in an Arrow batch than Spark's default of 10,000: whole texts are long, and batches wait on both sides of the Python border."""
-    if int(spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch")) > rows:
-        spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(rows))
-
-
 def saved(df: DataFrame, name: str) -> DataFrame:
     """Cut the lineage: written as Parquet to the shared folder and read back, so that a lost executor costs nothing."""
     spark = df.sparkSession
     path = fresh_dir(spark, name)
     schema = df.schema
     df.write.parquet(path)
-    return spark.read.schema(schema).parquet(path)
+    out = spark.read.schema(schema).parquet(path)
+    _PATH[out] = path
+    return out
+
+
+def forget(df: DataFrame) -> None:
+    """Remove a saved() table that nothing needs any more."""
+    path = _PATH.pop(df, None)
+    if path:
+        _remove(df.sparkSession, path)
+        _LIVE.discard(path)
+
+
+def _remove(spark: SparkSession, path: str) -> None:
+    where = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    where.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(where, True)
 
 
 def words_of(text: bytes) -> list[bytes]:
@@ -107,20 +120,28 @@ def binary(text: Column) -> Column:
     return F.coalesce(text, F.lit("")).cast("binary")
 
 
+def tasks_for(spark: SparkSession, batches: int, each: int = 4) -> int:
+    """Partitions for so many batches: some batches a task, never fewer partitions than the session's setting."""
+    return max(int(spark.conf.get("spark.sql.shuffle.partitions")), min(-(-batches // each), 100_000))
+
+
 def batched(docs: DataFrame, doc_id: str, text: str, batch_mb: float = 4) -> tuple[DataFrame, int, int]:
-    """(doc_id, text as bytes, batch) with about batch_mb of text in a batch; number of batches; bytes of all texts. Rows of a doc_id meet in one batch."""
-    small_batches(docs.sparkSession)
+    """(doc_id, text as bytes, batch) with about batch_mb of text in a batch, dealt to as many tasks as the batches need; number of batches; bytes of all
+    texts. A row's id and text decide its batch, so rows that share an id, or have none, are spread by their texts."""
     total = docs.agg(F.sum(F.octet_length(F.col(text)) + F.lit(64)).alias("b")).first()["b"] or 0
     n = max(1, int(total / (batch_mb * 2**20)) + 1)
-    batch = F.pmod(F.xxhash64(F.col(doc_id)), F.lit(n)).cast("int")
-    return docs.select(F.col(doc_id).cast("long").alias("doc_id"), binary(F.col(text)).alias("text"), batch.alias("batch")), n, total
+    batch = F.pmod(F.xxhash64(F.col(doc_id), F.col(text)), F.lit(n)).cast("long")
+    df = docs.select(F.col(doc_id).cast("long").alias("doc_id"), binary(F.col(text)).alias("text"), batch.alias("batch"))
+    return df.repartition(tasks_for(docs.sparkSession, n), "batch"), n, total
 
 
 def _lists(values: list) -> pa.Array:
     return pa.array(values, pa.binary())
 
 
-COUNT_SCHEMA = "batch int, bucket int, seen binary, totals binary"
+COUNT_SCHEMA = "batch long, bucket long, seen binary, totals binary"
+#: A row goes to at most 2^FAN buckets at a time, however many there are; GATHER batches are merged before the next digit of the bucket is told apart.
+FAN, GATHER = 8, 256
 
 
 def key_layout(keys: np.ndarray, bits: int, width: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -131,55 +152,62 @@ def key_layout(keys: np.ndarray, bits: int, width: int) -> tuple[np.ndarray, np.
 
 
 def to_raw(low: np.ndarray, width: int) -> bytes:
-    """Keys of 32 or 40 bits: all low halves, then the fifth bytes."""
-    raw = low.astype(np.uint32).tobytes()
-    return raw if width <= 32 else raw + (low >> np.uint64(32)).astype(np.uint8).tobytes()
+    """Keys of 32 bits or more: all low halves, then all fifth bytes and so on."""
+    raw = [low.astype(np.uint32).tobytes()]
+    raw += [(low >> np.uint64(at)).astype(np.uint8).tobytes() for at in range(32, width, 8)]
+    return b"".join(raw)
 
 
 def from_raw(raw: bytes, width: int) -> np.ndarray:
-    if width <= 32:
-        return np.frombuffer(raw, np.uint32)
-    n = len(raw) // 5
-    return np.frombuffer(raw, np.uint32, n).astype(np.uint64) | (np.frombuffer(raw, np.uint8, offset=4 * n).astype(np.uint64) << np.uint64(32))
+    more = range(32, width, 8)
+    n = len(raw) // (4 + len(more))
+    out = np.frombuffer(raw, np.uint32, n).astype(np.uint64)
+    for i, at in enumerate(more):
+        out |= np.frombuffer(raw, np.uint8, n, offset=(4 + i) * n).astype(np.uint64) << np.uint64(at)
+    return out
 
 
-def sent_counts(batch: int, unique: np.ndarray, count: np.ndarray, width: int) -> pa.Table:
-    """One row for each bucket of a batch: its keys' low bits and counts, as plain arrays."""
+def sent_counts(batch: int, unique: np.ndarray, count: np.ndarray, width: int, above: int = 0) -> pa.Table:
+    """One row for each bucket of a batch: its keys' low bits and counts, as plain arrays. above: the bucket's higher digits."""
     bucket = (unique >> np.uint64(width)).astype(np.int64)
     cuts = np.flatnonzero(np.r_[True, bucket[1:] != bucket[:-1]]) if len(bucket) else np.zeros(0, np.int64)
     ends = np.r_[cuts[1:], len(bucket)] if len(cuts) else cuts
     low = unique & np.uint64((1 << width) - 1)
     count = count.astype(np.uint32)
     return pa.table({
-        "batch": pa.array(np.full(len(cuts), batch), pa.int32()),
-        "bucket": pa.array(bucket[cuts], pa.int32()),
+        "batch": pa.array(np.full(len(cuts), batch), pa.int64()),
+        "bucket": pa.array(bucket[cuts] + above, pa.int64()),
         "seen": _lists([to_raw(low[a:b], width) for a, b in zip(cuts, ends, strict=True)]),
         "totals": _lists([count[a:b].tobytes() for a, b in zip(cuts, ends, strict=True)]),
     })
 
 
-def returned_counts(table: pa.Table, width: int) -> pa.Table:
-    """For each batch's row of a bucket: places of the keys whose count over the corpus is not 1, and those counts."""
+def merged(table: pa.Table, width: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, list[int]]:
+    """Of rows with keys of one bucket: distinct keys, their counts, where each row's keys went, and how many each row has."""
     keys = [from_raw(x, width) for x in table["seen"].to_pylist()]
     counts = [np.frombuffer(x, np.uint32) for x in table["totals"].to_pylist()]
-    _, inverse = np.unique(np.concatenate(keys), return_inverse=True)
-    total = np.bincount(inverse, weights=np.concatenate(counts))[inverse].astype(np.uint64)
+    unique, inverse = np.unique(np.concatenate(keys), return_inverse=True)
+    return unique, np.bincount(inverse, weights=np.concatenate(counts)).astype(np.uint64), inverse, [len(k) for k in keys]
+
+
+def answers(table: pa.Table, total: np.ndarray, sizes: list[int]) -> pa.Table:
+    """For each row that came: places of the keys whose count over the corpus is not 1, and those counts."""
     seen, totals, at = [], [], 0
-    for k in keys:
-        t = total[at : at + len(k)]
-        at += len(k)
+    for n in sizes:
+        t = total[at : at + n]
+        at += n
         more = t > 1
         seen.append(np.packbits(more).tobytes())
         totals.append(t[more].tobytes())
     return pa.table({"batch": table["batch"].combine_chunks(), "bucket": table["bucket"].combine_chunks(), "seen": _lists(seen), "totals": _lists(totals)})
 
 
-def counts_of(unique: np.ndarray, width: int, back: pa.Table) -> np.ndarray:
-    """The corpus counts of a batch's distinct keys, from what returned_counts() sent back."""
+def counts_of(unique: np.ndarray, width: int, back: pa.Table, first: int | None = None) -> np.ndarray:
+    """The corpus counts of distinct keys, from the answers to them. first: bits of the digit that told their buckets apart, if there are more digits above."""
     out = np.ones(len(unique), np.uint64)
     bucket = unique >> np.uint64(width)
     for b, seen, totals in zip(back["bucket"].to_pylist(), back["seen"].to_pylist(), back["totals"].to_pylist(), strict=True):
-        start = np.searchsorted(bucket, np.uint64(b))
+        start = np.searchsorted(bucket, np.uint64(b if first is None else b & ((1 << first) - 1)))
         out[start + np.flatnonzero(np.unpackbits(np.frombuffer(seen, np.uint8)))] = np.frombuffer(totals, np.uint64)
     return out
 
@@ -189,16 +217,76 @@ def bucket_bits(keys: int, per_bucket: int = 1_000_000) -> int:
     return max(4, int(np.ceil(np.log2(max(1, keys / per_bucket)))))
 
 
-def corpus_counts(texts: DataFrame, keys_of, bits: int, width: int) -> DataFrame:
+def _totals(sent: DataFrame, rest: int, width: int, fan: int, gather: int) -> DataFrame:
+    """Answers to rows whose keys have rest bits of the bucket yet to be told apart, and width bits beyond."""
+    spark = sent.sparkSession
+    if rest == 0:
+
+        def last(table):
+            _, total, inverse, sizes = merged(table, width)
+            return answers(table, total[inverse], sizes)
+
+        return sent.groupBy("bucket").applyInArrow(last, COUNT_SCHEMA)
+    digit = min(fan, rest)
+    below = rest - digit + width
+    sent = saved(sent, "counts")
+    groups = int(sent.agg(F.max("batch")).first()[0] or 0) // gather + 1
+    mine = sent.withColumn("meet", F.col("bucket") * groups + F.floor(F.col("batch") / gather))
+
+    def on(key, table):
+        unique, total, _, _ = merged(table, rest + width)
+        return sent_counts(key[0].as_py(), unique, total, below, table["bucket"][0].as_py() << digit)
+
+    def back(table, found):
+        unique, _, inverse, sizes = merged(table, rest + width)
+        return answers(table, counts_of(unique, below, found, digit)[inverse], sizes)
+
+    further = _totals(mine.groupBy("meet").applyInArrow(on, COUNT_SCHEMA), rest - digit, width, fan, gather)
+    n = tasks_for(spark, groups << digit)
+    return mine.repartition(n, "meet").groupBy("meet").cogroup(further.repartition(n, "batch").groupBy("batch")).applyInArrow(back, COUNT_SCHEMA)
+
+
+def corpus_counts(texts: DataFrame, batches: int, keys_of, bits: int, width: int, fan: int = FAN, gather: int = GATHER) -> DataFrame:
     """Count keys over all batches. keys_of(list of texts) gives a batch's keys (uint64, repeats count). A batch sends each distinct key once, with its
-    count, so a frequent key costs a batch one entry; the result has each batch's counts in the order of its own sorted keys."""
+    count, so a frequent key costs a batch one entry; the result has each batch's counts in the order of its own sorted keys, in as many tasks as texts.
+
+    A batch sends at most 2^fan rows. With more buckets than that, gather batches' rows of one digit are merged and dealt by the next digit, and answers come
+    back the same way; so rows grow with the number of batches, not with batches times buckets."""
+    first = min(fan, bits)
 
     def send(key, table):
         unique, count, _ = key_layout(keys_of(table["text"].to_pylist()), bits, width)
-        return sent_counts(key[0].as_py(), unique, count, width)
+        return sent_counts(key[0].as_py(), unique, count, bits - first + width)
 
     sent = texts.groupBy("batch").applyInArrow(send, COUNT_SCHEMA)
-    return sent.groupBy("bucket").applyInArrow(lambda t: returned_counts(t, width), COUNT_SCHEMA)
+    return _totals(sent, bits - first, width, fan, gather).repartition(tasks_for(texts.sparkSession, batches), "batch")
+
+
+def told_counts(unique: np.ndarray, bits: int, width: int, back: pa.Table | None, fan: int = FAN) -> np.ndarray:
+    """The counts of a batch's key_layout() from its rows of corpus_counts()."""
+    if back is None or not back.num_rows:
+        return np.ones(len(unique), np.uint64)
+    return counts_of(unique, bits - min(fan, bits) + width, back)
+
+
+def salted(rows: DataFrame, by: str, salts: int) -> DataFrame:
+    return rows.withColumn("__salt", F.pmod(F.xxhash64(by), F.lit(salts)).cast("int"))
+
+
+def met(rows: DataFrame, totals: DataFrame, key: str, by: str, salts: int) -> DataFrame:
+    """rows joined to totals, one row for each key. A key's rows are cut by a hash of the column by, so that no key, however frequent, meets in one task."""
+    rows = salted(rows, by, salts)
+    told = rows.select(key, "__salt").distinct().join(totals, key)
+    return rows.join(told, [key, "__salt"]).drop("__salt")
+
+
+def with_totals(rows: DataFrame, key: str, by: str, aggs: dict[str, tuple[str, str]], salts: int) -> DataFrame:
+    """rows joined to aggregates over their key, cut like met(). aggs: name -> (function of pyspark.sql.functions, column), functions that can be applied to
+    their own results (sum, min, max, bit_xor)."""
+    rows = salted(rows, by, salts)
+    cells = rows.groupBy(key, "__salt").agg(*[getattr(F, f)(c).alias(name) for name, (f, c) in aggs.items()])
+    over = cells.groupBy(key).agg(*[getattr(F, f)(name).alias(name) for name, (f, _) in aggs.items()])
+    return rows.join(cells.select(key, "__salt").join(over, key), [key, "__salt"]).drop("__salt")
 
 
 def components(edges: DataFrame, name: str = "components") -> DataFrame:
@@ -211,12 +299,14 @@ def components(edges: DataFrame, name: str = "components") -> DataFrame:
         near = both.join(label.select(F.col("node").alias("b"), "component"), "b").groupBy(F.col("a").alias("node")).agg(F.min("component").alias("m"))
         new = label.join(near, "node").select("node", F.col("component").alias("old"), F.least("component", "m").alias("component"))
         jump = new.select(F.col("node").alias("component"), F.col("component").alias("further"))
-        new = new.join(jump, "component").select("node", "old", F.col("further").alias("component"))
-        new = saved(new, name)
+        new = saved(new.join(jump, "component").select("node", "old", F.col("further").alias("component")), name)
         done = new.filter("old <> component").isEmpty()
-        label = new.select("node", "component")
+        forget(label)
         if done:
-            return label
+            forget(both)
+            return new.select("node", "component")
+        label = new.select("node", "component")
+        _PATH[label] = _PATH.pop(new)
 
 
 def running(df: DataFrame, group: list[str], bucket: str, order: list, what: dict[str, Column]) -> DataFrame:

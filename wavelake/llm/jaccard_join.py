@@ -1,33 +1,36 @@
 """N-gram Jaccard join with token-combination prefixes.
 
-Tokens are shingle hashes, ordered by how many documents hold them, then by hash. Two sets of n and m tokens with Jaccard similarity t or more share
-o >= ceil(t * max(n, m)) tokens, so they share at least k tokens among the first n - ceil(t * n) + k and m - ceil(t * m) + k in that order, if o >= k.
-With k = 2 either one of the shared prefix tokens is rare, and an index of single rare tokens finds the pair, or two of them are frequent, and an index of
-two-token combinations of frequent tokens finds it. Sets of one token only link to equal sets.
-
-Equal sets are one class from the start. Classes that share a minimum hash are first held against the smallest of them, which links most of a group of
-copies with one comparison a member; only pairs that are still in different components are then sought in the index, over tokens that more than one
-component holds. Combinations are not written out, as a long prefix has very many: documents with two frequent tokens are gathered into clusters that share
-such tokens, and in blocks of a cluster the product of two incidence matrices counts, for every pair, how many frequent tokens it shares; k or more means a
-common k-token combination. All pairs of the index between different components are verified, so no link that matters to the components is lost, and a
-block gives a spanning forest of its links, not the links.
+Tokens are hashes of shingles. Tokens that the same sets hold form a token class: whoever holds one of them holds all, so a set is a list of classes with
+weights, in one order for all sets (rarest first). Sets of n and m tokens with similarity t or more share o >= ceil(t * max(n, m)) tokens. So their first
+common class lies where the classes from there on still weigh o (the prefix); and given their first k common classes, the next one, if they share more, lies
+where the weight of those k and of all classes from there on is still o (the extended prefix).
+
+The index starts with single classes of the prefix. A key that few sets hold gives its pairs. A key that many hold is extended: each holder goes on with the
+combinations of the key's classes and one more class of its extended prefix, until keys are rare. Common text that half the corpus holds is one class, so a
+combination of k classes is k passages, not k words of one passage, and keys get rare quickly. Sets that share a frequent key and nothing else share exactly
+the key's weight: those that this links are tied to the key's smallest set, which links all of them that it links to each other. All pairs are verified.
+Sets that share most of their text in ever different parts have very many combinations that are no rarer than their classes; where a key's holders outside
+its largest component are fewer than a multiple of the extensions that a holder would add, the holders are compared at once instead, in blocks. So what is
+compared for a key is at most a multiple of what extending it would write.
+
+Equal sets are one node from the start, and nodes that share a minimum hash are first held against one of them, which links most of a group of near copies
+with one comparison a member; the index then only holds classes and keys that different components share. Keys of any frequency are cut by a hash of the
+holder before they meet their counts.
 """
 
 from __future__ import annotations
 
-import math
-
 import numpy as np
 import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import batched, bucket_bits, components, corpus_counts, counts_of, key_layout, mixed, saved, shingles, word_hashes
+from .common import WORD, batched, bucket_bits, components, corpus_counts, key_layout, met, mixed, saved, shingles, told_counts, with_totals, word_hashes
 
-K = 2
 SEEDS = (0x243F6A8885A308D3, 0x13198A2E03707344, 0xA4093822299F31D0, 0x082EFA98EC4E6C89)
-SET_SCHEMA = "doc_id long, n long, fp1 long, fp2 long, keys array<long>, prefix array<long>, tokens binary"
+SET_SCHEMA = "doc_id long, text_hash long, n long, node long, keys array<long>, held array<long>"
+ENTRY_SCHEMA = "key long, node long, component long, n long, acc long, place int, more long"
 
 
 def token_set(text: bytes, words: int = 5) -> np.ndarray:
@@ -40,94 +43,126 @@ def needed(n: int, num: int, den: int) -> int:
     return -(-num * n // den)
 
 
-def _lists(values: list, kind) -> pa.Array:
-    return pa.array(values, pa.list_(kind))
+def _lists(values: list) -> pa.Array:
+    return pa.array(values, pa.list_(pa.int64()))
+
+
+def _arrays(column: pa.ChunkedArray) -> list[np.ndarray]:
+    flat = column.combine_chunks() if isinstance(column, pa.ChunkedArray) else column
+    values, at = flat.values.to_numpy(), flat.offsets.to_numpy()
+    return [values[a:b] for a, b in zip(at, at[1:], strict=False)]
 
 
 def describe(table: pa.Table, back: pa.Table | None, bits: int, width: int, words: int, num: int, den: int) -> pa.Table:
-    """A batch's documents: size and fingerprint of the set; for those whose prefix holds shared tokens, minimum hashes, prefix tokens and the set itself."""
-    ids = table["doc_id"].to_pylist()
-    sets = [token_set(t, words) for t in table["text"].to_pylist()]
+    """A batch's documents: size and hash of the set; for those that share enough tokens with any other document, minimum hashes and the shared tokens."""
+    raws = table["text"].to_pylist()
+    sets = [token_set(t, words) for t in raws]
     all_tokens = np.concatenate([*sets, np.zeros(0, np.uint64)])
     unique, _, inverse = key_layout(all_tokens, bits, width)
-    held = counts_of(unique, width, back)[inverse] if back is not None and back.num_rows else np.ones(len(all_tokens), np.uint64)
-    out = {name: [] for name in ("n", "fp1", "fp2", "keys", "prefix", "tokens")}
-    at, done = 0, set()
-    for doc, tokens in zip(ids, sets, strict=True):
-        n, df = len(tokens), held[at : at + len(tokens)]
+    held = told_counts(unique, bits, width, back)[inverse]
+    nodes, keys, shared, at = [], [], [], 0
+    for tokens in sets:
+        n = len(tokens)
+        nodes.append(int(np.int64(np.uint64(xxhash.xxh3_64_intdigest(tokens.tobytes())))) if n else None)
+        some = tokens[held[at : at + n] > 1]
         at += n
-        raw = tokens.tobytes()
-        fp = xxhash.xxh3_128_digest(raw)
-        fp1, fp2 = np.frombuffer(fp, "<i8")
-        row = {"n": n, "fp1": int(fp1) if n else None, "fp2": int(fp2) if n else None, "keys": None, "prefix": None, "tokens": None}
-        prefix = n - needed(n, num, den) + K
-        shared = df > 1
-        if n > 1 and n - int(shared.sum()) <= prefix - K and (doc, fp) not in done:
-            done.add((doc, fp))
-            order = np.lexsort((tokens, df))[:prefix]
-            some = tokens[shared]
-            row |= {
-                "keys": [int(mixed(some ^ np.uint64(s)).min().view(np.int64)) for s in SEEDS], "tokens": raw,
-                "prefix": tokens[order[df[order] > 1]].view(np.int64),
-            }
-        for name, value in row.items():
-            out[name].append(value)
+        if n and len(some) >= needed(n, num, den):
+            keys.append([int(mixed(some ^ np.uint64(s)).min().view(np.int64)) for s in SEEDS])
+            shared.append(some.view(np.int64))
+        else:
+            keys.append(None)
+            shared.append(None)
     long = pa.int64()
+    hashes = np.array([xxhash.xxh64_intdigest(t, 42) for t in raws], np.uint64).view(np.int64)
     return pa.table({
-        "doc_id": pa.array(ids, long), "n": pa.array(out["n"], long), "fp1": pa.array(out["fp1"], long), "fp2": pa.array(out["fp2"], long), "keys": _lists(out["keys"], long),
-        "prefix": _lists(out["prefix"], long), "tokens": pa.array(out["tokens"], pa.binary()),
+        "doc_id": table["doc_id"].combine_chunks(), "text_hash": pa.array(hashes, long), "n": pa.array([len(x) for x in sets], long), "node": pa.array(nodes, long), "keys": _lists(keys), "held": _lists(shared),
     })
 
 
 def compare(table: pa.Table, num: int, den: int) -> pa.Table:
-    """One set (role 0) against others: those that link."""
-    role, docs, sets = table["role"].to_pylist(), table["doc"].to_pylist(), table["tokens"].to_pylist()
+    """One set (role 0) against others: those that link. Tokens that only one set holds aren't among the sets', but count in n."""
+    role, nodes, sizes, sets = table["role"].to_pylist(), table["node"].to_pylist(), table["n"].to_pylist(), _arrays(table["held"])
     hub = role.index(0)
-    left, found = np.frombuffer(sets[hub], np.uint64), []
-    for r, doc, raw in zip(role, docs, sets, strict=True):
+    left, n, found = sets[hub].view(np.uint64), sizes[hub], []
+    for r, node, m, raw in zip(role, nodes, sizes, sets, strict=True):
         if r:
-            right = np.frombuffer(raw, np.uint64)
+            right = raw.view(np.uint64)
             at = np.searchsorted(left, right)
             both = int((left[np.minimum(at, len(left) - 1)] == right).sum())
-            if den * both >= num * (len(left) + len(right) - both):
-                found.append(doc)
-    return pa.table({"a": pa.array([docs[hub]] * len(found), pa.int64()), "b": pa.array(found, pa.int64())})
+            if den * both >= num * (n + m - both):
+                found.append(node)
+    return pa.table({"a": pa.array([nodes[hub]] * len(found), pa.int64()), "b": pa.array(found, pa.int64())})
 
 
 def verified(pairs: DataFrame, sets: DataFrame, num: int, den: int, chunk: int = 128) -> DataFrame:
     """Those of the distinct pairs (a, b) that link. A hub's partners are cut into chunks, each with its own copy of the hub's set."""
-    sizes = pairs.groupBy("a").agg(F.ceil(F.count("*") / chunk).alias("chunks"))
-    dealt = pairs.join(sizes, "a").select("a", "b", F.pmod(F.xxhash64("b"), F.col("chunks")).alias("chunk"))
-    asked = dealt.select(F.col("b").alias("doc"), "a", "chunk", F.lit(1).alias("role")).union(dealt.select(F.col("a").alias("doc"), "a", "chunk", F.lit(0).alias("role")).distinct())
-    rows = asked.join(sets.select(F.col("doc_id").alias("doc"), "tokens"), "doc")
+    sizes = pairs.groupBy("a").agg(F.ceil(F.count("*") / chunk).cast("int").alias("chunks"))
+    dealt = pairs.join(sizes, "a").select("a", "b", F.pmod(F.xxhash64("b"), F.col("chunks")).cast("int").alias("chunk"))
+    hubs = sizes.select(F.col("a").alias("node"), "a", F.explode(F.sequence(F.lit(0), F.col("chunks") - 1)).alias("chunk"), F.lit(0).alias("role"))
+    rows = dealt.select(F.col("b").alias("node"), "a", "chunk", F.lit(1).alias("role")).union(hubs).join(sets.select("node", "n", "held"), "node")
     return rows.groupBy("a", "chunk").applyInArrow(lambda t: compare(t, num, den), "a long, b long")
 
 
 def index_pairs(items: DataFrame, num: int, den: int) -> DataFrame:
-    """Pairs of different components, near enough in size, that share an index key."""
-    other = items.select("key", *[F.col(c).alias(f"{c}2") for c in ("doc_id", "component", "n")])
+    """Pairs of different components, near enough in size, that share a rare key."""
+    other = items.select("key", *[F.col(c).alias(f"{c}2") for c in ("node", "component", "n")])
     near = (F.greatest("n", "n2") * num <= F.least("n", "n2") * den) & (F.col("component") < F.col("component2"))
-    return items.join(other, "key").filter(near).select(F.col("doc_id").alias("a"), F.col("doc_id2").alias("b"))
-
-
-def spanning(items: DataFrame) -> DataFrame:
-    """Index entries whose key is held by more than one component."""
-    wide = items.groupBy("key").agg(F.min("component").alias("lo"), F.max("component").alias("hi")).filter("lo < hi").select("key")
-    return items.join(wide, "key")
+    return items.join(other, "key").filter(near).select(F.col("node").alias("a"), F.col("node2").alias("b"))
+
+
+def classed(sets: DataFrame, num: int, den: int, salts: int) -> DataFrame:
+    """Sets as lists of token classes, rarest first: node, component, n, classes (holders, class, weight); only classes that different components hold, and
+    only sets that such classes can link. A class is told by how many sets hold a token and by two sums of hashes of the sets that do."""
+    tokens = sets.select("node", "component", "n", F.xxhash64("node", F.lit(1)).alias("h1"), F.xxhash64("node", F.lit(2)).alias("h2"), F.explode("held").alias("token")).withColumn("one", F.lit(1).cast("long"))
+    what = {"c": ("sum", "one"), "x": ("bit_xor", "h1"), "y": ("bit_xor", "h2"), "lo": ("min", "component"), "hi": ("max", "component")}
+    wide = with_totals(tokens, "token", "node", what, salts).filter("lo < hi")
+    weighed = wide.groupBy("node", "component", "n", "c", F.xxhash64("c", "x", "y").alias("class")).agg(F.count("*").alias("w"))
+    out = weighed.groupBy("node", "component", "n").agg(F.sort_array(F.collect_list(F.struct("c", "class", "w"))).alias("classes"), F.sum("w").alias("all"))
+    return out.filter(F.col("all") * den >= F.col("n") * num).drop("all")
+
+
+def extend(batches, num: int, den: int, first: bool):
+    """Index entries of sets (node, component, n, classes): keys of one class (first), or of a given entry (key, acc, place) and one more class. more: how
+    many extensions an entry has."""
+    for batch in batches:
+        out = {c: [] for c in ("key", "node", "component", "n", "acc", "place", "more")}
+        kinds, starts = batch["classes"], batch["classes"].offsets.to_numpy()
+        name, weight = kinds.values.field("class").to_numpy().view(np.uint64), kinds.values.field("w").to_numpy()
+        node, part, size = batch["node"].to_pylist(), batch["component"].to_pylist(), batch["n"].to_pylist()
+        given = None if first else (batch["key"].to_numpy().view(np.uint64) * np.uint64(0x9E3779B97F4A7C15), batch["acc"].to_pylist(), batch["place"].to_pylist())
+        for i in range(batch.num_rows):
+            names, w = name[starts[i] : starts[i + 1]], weight[starts[i] : starts[i + 1]]
+            rest, need = np.cumsum(w[::-1]), needed(size[i], num, den)  # weight of the last 1, 2, ... classes
+            acc, from_ = (0, 0) if first else (given[1][i], given[2][i] + 1)
+            at = np.arange(from_, len(w) - np.searchsorted(rest, need - acc))
+            if not len(at):
+                continue
+            key = names[at] if first else mixed(given[0][i : i + 1] + names[at])
+            out["key"].append(key.view(np.int64))
+            out["acc"].append(acc + w[at])
+            out["place"].append(at)
+            out["more"].append(np.maximum(len(w) - np.searchsorted(rest, need - acc - w[at]) - at - 1, 0))
+            for c, v in (("node", node[i]), ("component", part[i]), ("n", size[i])):
+                out[c].append(np.full(len(at), v, np.int64))
+        if out["key"]:
+            cols = {c: np.concatenate(v) for c, v in out.items()}
+            yield pa.RecordBatch.from_pydict({c: pa.array(v, pa.int32() if c == "place" else pa.int64()) for c, v in cols.items()})
 
 
 def overlaps(left: list[np.ndarray], right: list[np.ndarray], width: int = 8192) -> np.ndarray:
     """How many tokens each of the left sets shares with each of the right, by matrix products over stretches of the tokens that both sides hold."""
     a, b = np.concatenate(left), np.concatenate(right)
     both = np.intersect1d(a, b)
-    rows = [np.repeat(np.arange(len(x)), [len(v) for v in x]) for x in (left, right)]
     out = np.zeros((len(left), len(right)), np.float32)
-    places = [np.searchsorted(both, v) for v in (a, b)]
-    known = [both[np.minimum(at, len(both) - 1)] == v if len(both) else np.zeros(len(v), bool) for at, v in zip(places, (a, b), strict=True)]
+    sides = []
+    for sets, flat in ((left, a), (right, b)):
+        at = np.searchsorted(both, flat)
+        known = both[np.minimum(at, len(both) - 1)] == flat if len(both) else np.zeros(len(flat), bool)
+        sides.append((np.repeat(np.arange(len(sets)), [len(v) for v in sets])[known], at[known], len(sets)))
     for start in range(0, len(both), width):
         parts = []
-        for size, row, at, ok in zip((len(left), len(right)), rows, places, known, strict=True):
-            mine = ok & (at >= start) & (at < start + width)
+        for row, at, size in sides:
+            mine = (at >= start) & (at < start + width)
             m = np.zeros((size, min(width, len(both) - start)), np.float32)
             m[row[mine], at[mine] - start] = 1
             parts.append(m)
@@ -135,113 +170,121 @@ def overlaps(left: list[np.ndarray], right: list[np.ndarray], width: int = 8192)
     return out
 
 
-def block_forest(table: pa.Table, num: int, den: int) -> pa.Table:
-    """Two blocks of documents (role 0 and 1; the same one twice as role 2): links between different components, as a spanning forest."""
-    role = table["role"].to_numpy()
-    ids, parts = table["doc_id"].to_numpy(), table["component"].to_numpy()
-    keys = [np.array(k, np.int64) for k in table["keys"].to_pylist()]
-    sets = [np.frombuffer(x, np.uint64) for x in table["tokens"].to_pylist()]
-    left, right = np.flatnonzero(role != 1), np.flatnonzero(role != 0)
+def block_links(table: pa.Table, num: int, den: int) -> pa.Table:
+    """Sets outside a key's largest component (role 0) against a block of its holders (role 1): links between different components, as a spanning forest."""
+    role, node, part, n = (table[c].to_numpy() for c in ("role", "node", "component", "n"))
+    sets = _arrays(table["held"])
+    left, right = np.flatnonzero(role == 0), np.flatnonzero(role == 1)
     a, b = [], []
     if len(left) and len(right):
-        near = overlaps([keys[i] for i in left], [keys[i] for i in right]) >= K
-        size = np.array([len(x) for x in sets], np.int64)
-        x, y = size[left][:, None], size[right][None, :]
-        near &= (parts[left][:, None] != parts[right][None, :]) & (num * np.maximum(x, y) <= den * np.minimum(x, y))
-        rows, cols = np.flatnonzero(near.any(axis=1)), np.flatnonzero(near.any(axis=0))
-        if len(rows) and len(cols):
-            near = near[np.ix_(rows, cols)]
-            both = overlaps([sets[i] for i in left[rows]], [sets[i] for i in right[cols]]).astype(np.int64)
-            met = near & (den * both >= num * (x[rows] + y[:, cols] - both))
-            root: dict[int, int] = {}
-
-            def find(v: int) -> int:
-                while root.setdefault(v, v) != v:
-                    root[v] = v = root[root[v]]
-                return v
-
-            for i, j in zip(*np.nonzero(met), strict=True):
-                u, v = left[rows[i]], right[cols[j]]
-                p, q = find(int(parts[u])), find(int(parts[v]))
-                if p != q:
-                    root[max(p, q)] = min(p, q)
-                    a.append(ids[u])
-                    b.append(ids[v])
+        both = overlaps([sets[i] for i in left], [sets[i] for i in right]).astype(np.int64)
+        met = (den * both >= num * (n[left][:, None] + n[right][None] - both)) & (part[left][:, None] != part[right][None])
+        root: dict[int, int] = {}
+
+        def find(v: int) -> int:
+            while root.setdefault(v, v) != v:
+                root[v] = v = root[root[v]]
+            return v
+
+        for i, j in zip(*np.nonzero(met), strict=True):
+            p, q = find(int(part[left[i]])), find(int(part[right[j]]))
+            if p != q:
+                root[max(p, q)] = min(p, q)
+                a.append(node[left[i]])
+                b.append(node[right[j]])
     return pa.table({"a": pa.array(a, pa.int64()), "b": pa.array(b, pa.int64())})
 
 
-def cluster_links(entries: DataFrame, sets: DataFrame, num: int, den: int, block: int = 256) -> DataFrame:
-    """Links between documents that share two of the entries' keys. entries: (doc_id, component, n, key), two for each document at least.
-
-    Clusters hold what keys connect. Sizes fall into classes so wide that linked sets lie in one class or in neighbouring ones; a class is cut into blocks
-    by hash, and blocks of one class and of neighbouring classes meet in pairs."""
-    first = entries.groupBy("key").agg(F.min("doc_id").alias("a"))
-    stars = entries.join(first, "key").filter("doc_id <> a").select("a", F.col("doc_id").alias("b")).distinct()
-    cluster = components(stars, "clusters").select(F.col("node").alias("doc_id"), F.col("component").alias("cluster"))
-    docs = entries.groupBy("doc_id", "component", "n").agg(F.sort_array(F.collect_set("key")).alias("keys")).join(cluster, "doc_id")
-    docs = saved(docs.withColumn("kind", F.floor(F.log(F.col("n").cast("double")) / math.log(den / num * 1.005)).cast("int")), "clusters")
-    count = docs.groupBy("cluster", "kind").agg(F.ceil(F.count("*") / block).cast("int").alias("blocks"))
-    after = count.select("cluster", (F.col("kind") - 1).alias("kind"), F.col("blocks").alias("after"))
-    before = count.select("cluster", (F.col("kind") + 1).alias("kind"), F.col("blocks").alias("before"))
-    size = count.join(after, ["cluster", "kind"], "left").join(before, ["cluster", "kind"], "left").na.fill(0, ["after", "before"])
-    dealt = docs.join(size, ["cluster", "kind"]).withColumn("own", F.pmod(F.xxhash64("doc_id"), F.col("blocks")).cast("int"))
-
-    def meets(low, high, make):
-        return F.transform(F.when(low <= high, F.sequence(low, high)).otherwise(F.array().cast("array<int>")), make)
-
-    def pair(kind, a, other, b, role):
-        return F.struct(kind.alias("k0"), a.alias("b0"), other.alias("k1"), b.alias("b1"), role.alias("role"))
-
-    kind, own, zero = F.col("kind"), F.col("own"), F.lit(0)
-    same = meets(own, F.col("blocks") - 1, lambda j: pair(kind, own, kind, j, F.when(j == own, 2).otherwise(0)))
-    smaller = meets(zero, own - 1, lambda j: pair(kind, j, kind, own, F.lit(1)))
-    up = meets(zero, F.col("after") - 1, lambda j: pair(kind, own, kind + 1, j, F.lit(0)))
-    down = meets(zero, F.col("before") - 1, lambda j: pair(kind - 1, j, kind, own, F.lit(1)))
-    rows = dealt.join(sets.select("doc_id", "tokens"), "doc_id").withColumn("p", F.explode(F.concat(same, smaller, up, down)))
-    rows = rows.select("cluster", "p.k0", "p.b0", "p.k1", "p.b1", "p.role", "doc_id", "component", "keys", "tokens")
-    return rows.groupBy("cluster", "k0", "b0", "k1", "b1").applyInArrow(lambda t: block_forest(t, num, den), "a long, b long")
-
-
-def jaccard_components(docs: DataFrame, words: int = 5, num: int = 75, den: int = 100, rare: int = 8, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
-    """Per row of docs: doc_id, n_shingles, component_id (smallest doc_id reachable by links with den * intersection >= num * union).
-
-    Words are lower-cased (A-Z) runs of non-white space; a set holds the distinct shingles, the whole sequence where words are fewer. Null and empty texts
-    have empty sets and link to nothing. Null doc_ids keep component null. Repeated rows give a row each; equal texts link. Other columns are ignored.
-    """
-    texts, _, total = batched(docs, doc_id, text)
+def compared(held: DataFrame, sets: DataFrame, num: int, den: int, block: int = 256) -> DataFrame:
+    """Links between holders of the same key in different components. held: (key, node, component, c, main); blocks of those outside the key's largest
+    component meet blocks of all."""
+    size = F.lit(float(block))
+    minor = F.col("component") != F.col("main.component")
+    rows = held.withColumns({"blocks": F.ceil(F.col("c") / size).cast("int"), "minors": F.ceil((F.col("c") - F.col("main.k")) / size).cast("int")})
+    meet = lambda n: F.sequence(F.lit(0), F.col(n) - 1)
+    own = lambda n: F.pmod(F.xxhash64("node"), F.col(n)).cast("int")
+    one = rows.select("key", "node", "component", F.lit(1).alias("role"), own("blocks").alias("x"), F.explode(meet("minors")).alias("y"))
+    two = rows.filter(minor).select("key", "node", "component", F.lit(0).alias("role"), F.explode(meet("blocks")).alias("x"), own("minors").alias("y"))
+    full = one.union(two).join(sets.select("node", "n", "held"), "node")
+    return full.groupBy("key", "x", "y").applyInArrow(lambda t: block_links(t, num, den), "a long, b long")
+
+
+def candidates(sets: DataFrame, num: int, den: int, rare: int, salts: int) -> tuple[list[DataFrame], list[DataFrame]]:
+    """Pairs (a, b) to be verified and links, which hold every link between different components, up to what the links themselves connect; a table of each
+    for each length of the keys."""
+    docs = saved(classed(sets, num, den, salts), "classes")
+    entries, found, links, most = docs.mapInArrow(lambda b: extend(b, num, den, True), ENTRY_SCHEMA), [], [], rare
+    while True:
+        entries = saved(entries, "entries")
+        cells = entries.groupBy("key", "component").agg(F.count("*").alias("k"), F.min(F.struct("n", "node", "component")).alias("least"), F.sum("more").alias("more"))
+        over = cells.groupBy("key").agg(F.sum("k").alias("c"), F.max(F.struct("k", "component")).alias("main"), F.min("least").alias("least"), F.sum("more").alias("all_more"), F.count("*").alias("parts"))
+        held = saved(met(entries, over.filter("parts > 1"), "key", "node", salts), "index")
+        pairs = index_pairs(held.filter(F.col("c") <= rare), num, den)
+        often = held.filter(F.col("c") > rare)
+        small = F.col("least.n")
+        tied = often.filter((F.col("acc") * den >= (F.col("n") + small - F.col("acc")) * num) & (F.col("component") != F.col("least.component")))
+        found.append(saved(pairs.union(tied.select(F.col("least.node").alias("a"), F.col("node").alias("b"))).distinct(), "pairs"))
+        few = F.col("c") * (F.col("c") - F.col("main.k")) <= F.col("all_more") * most
+        links.append(saved(compared(often.filter((F.col("all_more") > 0) & few), sets, num, den), "links"))
+        often = often.filter(~few)
+        if often.isEmpty():
+            return found, links
+        most *= 8
+        more = often.select("key", "node", "acc", "place").join(docs, "node")
+        entries = more.mapInArrow(lambda b: extend(b, num, den, False), ENTRY_SCHEMA)
+
+
+def labelled(docs: DataFrame, words: int, num: int, den: int, rare: int, doc_id: str, text: str) -> DataFrame:
+    """Per row of docs: doc_id, text_hash, n, node (its set; null for an empty one), part (its component's smallest node), component_id."""
+    texts, batches, total = batched(docs, doc_id, text)
     bits, width = bucket_bits(total // 6), 32
 
     def keys(raw: list) -> np.ndarray:
         return np.concatenate([*[token_set(t, words) for t in raw], np.zeros(0, np.uint64)])
 
-    counts = corpus_counts(texts, keys, bits, width)
-    told = texts.groupBy("batch").cogroup(counts.groupBy("batch")).applyInArrow(lambda t, back: describe(t, back, bits, width, words, num, den), SET_SCHEMA)
-    told = saved(told, "sets")
-    classes = told.filter("n > 0 and doc_id is not null").groupBy("fp1", "fp2").agg(F.min("doc_id").alias("rep"), F.count("*").alias("held"))
-    sets = told.filter("tokens is not null").join(classes.select(F.col("rep").alias("doc_id"), "fp1", "fp2"), ["doc_id", "fp1", "fp2"], "left_semi")
-    sets = saved(sets.select("doc_id", "n", "keys", "prefix", "tokens"), "sets")
-
-    keyed = sets.select("doc_id", F.explode("keys").alias("key"))
-    hubs = keyed.groupBy("key").agg(F.min("doc_id").alias("a"), F.count("*").alias("c")).filter("c > 1").select("key", "a")
-    pairs = keyed.join(hubs, "key").filter("doc_id <> a").select("a", F.col("doc_id").alias("b")).distinct()
-    links = saved(verified(pairs, sets, num, den), "links")
-    parts = components(links)
-
-    now = sets.select("doc_id", "n", "prefix").join(parts.withColumnRenamed("node", "doc_id"), "doc_id", "left").withColumn("component", F.coalesce("component", "doc_id"))
-    now = saved(now, "parts")
-    held = saved(spanning(now.select("doc_id", "component", "n", F.explode("prefix").alias("key"))), "index")
-    sizes = held.groupBy("key").agg(F.count("*").alias("c"))
-    found = index_pairs(held.join(sizes.filter(F.col("c") <= rare), "key").drop("c"), num, den).distinct()
-    often = held.join(sizes.filter(F.col("c") > rare), "key").drop("c")
-    often = saved(often.join(often.groupBy("doc_id").agg(F.count("*").alias("c")).filter(F.col("c") >= K).select("doc_id"), "doc_id"), "frequent")
-    links = links.union(verified(saved(found, "pairs"), sets, num, den)).union(saved(cluster_links(often, sets, num, den), "links"))
+    counts = corpus_counts(texts, batches, keys, bits, width)
+    told = saved(texts.groupBy("batch").cogroup(counts.groupBy("batch")).applyInArrow(lambda t, back: describe(t, back, bits, width, words, num, den), SET_SCHEMA), "sets")
+    known = saved(told.filter("n > 0").groupBy("node").agg(F.min("doc_id").alias("smallest"), F.count("*").alias("rows")), "nodes")
+    # of equal sets the one with the smallest id stands for all
+    mine = told.filter("held is not null").join(known, "node").filter(F.col("doc_id").eqNullSafe(F.col("smallest")))
+    sets = saved(mine.select("node", "n", "keys", "held").dropDuplicates(["node"]), "sets")
+    salts = 4 + sets.count() // 10_000
+
+    keyed = sets.select("node", F.explode("keys").alias("key"))
+    hubs = with_totals(keyed, "key", "node", {"a": ("min", "node")}, salts).filter("node <> a")
+    links = saved(verified(saved(hubs.select("a", F.col("node").alias("b")).distinct(), "pairs"), sets, num, den), "links")
     parts = components(links)
-    named = classes.join(parts, classes["rep"] == parts["node"], "left").filter("held > 1 or component is not null").select("fp1", "fp2", F.coalesce("component", "rep").alias("component_id"))
-    out = told.select("doc_id", "n", "fp1", "fp2").join(named, ["fp1", "fp2"], "left")
-    return out.select("doc_id", F.col("n").alias("n_shingles"), F.when(F.col("doc_id").isNotNull(), F.coalesce("component_id", "doc_id")).alias("component_id"))
-
+    now = saved(sets.select("node", "n", "held").join(parts, "node", "left").withColumn("component", F.coalesce("component", "node")), "parts")
+    pairs, more = candidates(now, num, den, rare, salts)
+    for table in [*[verified(p, now, num, den) for p in pairs], *more]:
+        links = links.union(table)
+    parts = components(saved(links, "links"))
+    named = parts.join(known, "node")
+    named = named.join(named.groupBy("component").agg(F.min("smallest").alias("component_id")), "component")
+    named = known.filter("rows > 1").join(named.select("node", "component", F.col("component_id").alias("linked")), "node", "full")
+    named = named.select("node", F.coalesce("component", "node").alias("part"), F.coalesce("linked", "smallest").alias("component_id"))
+    out = told.select("doc_id", "text_hash", "n", "node").join(named, "node", "left")
+    return out.select("doc_id", "text_hash", "n", "node", F.coalesce("part", "node").alias("part"), F.coalesce("component_id", "doc_id").alias("component_id"))
+
+
+def jaccard_components(docs: DataFrame, words: int = 5, num: int = 75, den: int = 100, rare: int = 4, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
+    """Per row of docs: doc_id, n_shingles, component_id (smallest doc_id reachable by links with den * intersection >= num * union).
 
-def keep_one(docs: DataFrame, **options) -> DataFrame:
-    """The rows of docs whose doc_id is its component's smallest: the pipeline's stage. Rows without an id stay."""
-    gone = jaccard_components(docs, **options).filter("component_id <> doc_id").select(F.col("doc_id").alias("__id")).distinct()
-    return docs.join(gone, docs["doc_id"].cast("long") == gone["__id"], "left_anti")
+    Words are lower-cased (A-Z) runs of non-white space; a set holds the distinct shingles, the whole sequence where words are fewer. Null and empty texts
+    have empty sets and link to nothing. Rows without a doc_id link like others but keep component null. Repeated rows give a row each; rows with one
+    doc_id and different texts each go by their own text. Equal texts link. Other columns are ignored; an empty table gives no rows.
+    """
+    out = labelled(docs, words, num, den, rare, doc_id, text)
+    return out.select("doc_id", F.col("n").alias("n_shingles"), F.when(F.col("doc_id").isNotNull(), F.col("component_id")).alias("component_id"))
+
+
+def keep_one(docs: DataFrame, words: int = 5, num: int = 75, den: int = 100, rare: int = 4, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
+    """One row of docs for each group of linked texts, the pipeline's stage: that of the smallest doc_id (rows without an id come last), then of the smallest
+    hash of the text; of rows that share both, the smallest by all columns. Rows without words link with nothing and stay, all of them."""
+    found = labelled(docs, words, num, den, rare, doc_id, text).filter("n > 0")
+    first = found.groupBy("part").agg(F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "text_hash")).alias("k")).select(F.col("k.doc_id").alias("__kept_id"), F.col("k.text_hash").alias("__kept_hash"))
+    wordless = ~F.coalesce(F.col(text), F.lit("")).rlike(WORD)
+    own = F.struct(*[F.col(c) for c in docs.columns])
+    rows = docs.filter(~wordless).groupBy(F.col(doc_id).cast("long").alias("__id"), F.xxhash64(F.coalesce(F.col(text), F.lit(""))).alias("__hash")).agg(F.min(own).alias("__row"))
+    kept = rows.join(first, rows["__id"].eqNullSafe(first["__kept_id"]) & (rows["__hash"] == first["__kept_hash"]), "left_semi")
+    return kept.select(*[F.col("__row")[c].alias(c) for c in docs.columns]).union(docs.filter(wordless))

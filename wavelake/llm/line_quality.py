@@ -8,8 +8,6 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import small_batches
-
 #: The classifier is fitted on at most this many labelled documents of each class, whole texts.
 SAMPLE_PER_CLASS = 2_000
 
@@ -193,7 +191,6 @@ class LineField:
 def train(docs: DataFrame, labels: DataFrame, per_class: int = SAMPLE_PER_CLASS, doc_id: str = "doc_id", text: str = "text") -> LineField | None:
     """Fit on at most per_class labelled documents of each class (by hash of the id) out of those whose crc32(doc_id) mod 3 is not 1; None without any."""
     spark = docs.sparkSession
-    small_batches(spark)
     fold = F.pmod(F.crc32(F.col("doc_id").cast("string").cast("binary")), F.lit(3))
     known = labels.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("quality").cast("int").alias("quality")).filter("quality in (0, 1) and doc_id is not null").filter(fold != 1).dropDuplicates(["doc_id"])
     sizes = {r["quality"]: r["n"] for r in known.groupBy("quality").agg(F.count("*").alias("n")).collect()}
@@ -230,7 +227,6 @@ def quality(docs: DataFrame, model: LineField | None, doc_id: str = "doc_id", te
     Whole texts; null and empty texts are one empty line and get its score; without a model (no labels of both classes) the score is 0.5. Null ids are not
     held out. Repeated rows get equal scores. Labels and ids don't enter the score; other columns are ignored.
     """
-    small_batches(docs.sparkSession)
     send = docs.sparkSession.sparkContext.broadcast(model)  # some dozens of numbers
     raw = F.coalesce(F.col(text), F.lit("")).cast("binary")
     ids = F.col(doc_id).cast("long")
@@ -249,7 +245,6 @@ def quality(docs: DataFrame, model: LineField | None, doc_id: str = "doc_id", te
 
 def keep_good(docs: DataFrame, model: LineField | None, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
     """The rows of docs whose text the model doesn't reject: the pipeline's stage. Scored in place, without a join."""
-    small_batches(docs.sparkSession)
     send = docs.sparkSession.sparkContext.broadcast(model)
 
     def keep(batches):

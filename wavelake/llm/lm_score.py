@@ -11,7 +11,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import batched, bucket_bits, corpus_counts, counts_of, gram_hashes, key_layout, word_hashes
+from .common import batched, bucket_bits, corpus_counts, gram_hashes, key_layout, told_counts, word_hashes
 
 SCHEMA = "doc_id long, n_words long, log_score double, mean_log_score double"
 
@@ -47,7 +47,7 @@ def backoff_scores(docs: DataFrame, order: int = 2, least: int = 2, alpha: float
     Words are lower-cased (A-Z) runs of non-white space of whole texts. n-grams that the corpus holds less than least times are backed off from; counts are
     over all documents, repeated rows included. Null and empty texts score 0 with no words; null ids stay null; other columns are ignored.
     """
-    texts, _, size = batched(docs, doc_id, text, 8)
+    texts, batches, size = batched(docs, doc_id, text, 8)
     bits, width = bucket_bits(size // 8), 40
     spark = docs.sparkSession
     total = texts.select(F.sum(F.regexp_count(F.col("text").cast("string"), F.lit(r"[^\x20\x09-\x0D]+")))).first()[0] or 0
@@ -58,12 +58,12 @@ def backoff_scores(docs: DataFrame, order: int = 2, least: int = 2, alpha: float
     def score(table, back):
         found, size = grams(table["text"].to_pylist(), order)
         unique, _, inverse = key_layout(np.concatenate([*found, np.zeros(0, np.uint64)]), bits, width)
-        held = counts_of(unique, width, back).astype(np.float64)[inverse]
+        held = told_counts(unique, bits, width, back).astype(np.float64)[inverse]
         ends = np.cumsum([len(x) for x in found])
         parts = np.split(held, ends[:-1]) if len(ends) else []
         logs = [score_text(parts[order * i : order * (i + 1)], int(n), total, least, alpha) for i, n in enumerate(size)]
         mean = [s / n if n else None for s, n in zip(logs, size.tolist(), strict=True)]
         return pa.table({"doc_id": table["doc_id"], "n_words": pa.array(size, pa.int64()), "log_score": pa.array(logs, pa.float64()), "mean_log_score": pa.array(mean, pa.float64())})
 
-    counts = corpus_counts(texts, keys, bits, width)
+    counts = corpus_counts(texts, batches, keys, bits, width)
     return texts.groupBy("batch").cogroup(counts.groupBy("batch")).applyInArrow(score, SCHEMA)

@@ -7,13 +7,13 @@ go on. Runs go to shards by minimizer; a shard's suffix array puts equal strings
 
 from __future__ import annotations
 
-
 import numpy as np
 import pyarrow as pa
+import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import batched, bucket_bits, corpus_counts, counts_of, key_layout, mixed
+from .common import batched, bucket_bits, corpus_counts, key_layout, mixed, tasks_for, told_counts
 from .suffix_array import common_prefixes, suffix_array
 
 RUN = 32
@@ -85,18 +85,14 @@ def text_runs(raws: list[bytes], window: int, stretch: int = 1 << 17) -> tuple[n
 
 
 def in_order(table: pa.Table) -> tuple[list[int | None], np.ndarray, list[bytes]]:
-    """A batch's rows by doc_id (null first), then text: ids, which of the rows with its id each is, texts."""
-    rows = sorted(zip(table["doc_id"].to_pylist(), table["text"].to_pylist(), strict=True), key=lambda r: (r[0] is not None, r[0] or 0, r[1]))
-    ids = [r[0] for r in rows]
-    copy = np.zeros(len(ids), np.int64)
-    for i in range(1, len(ids)):
-        copy[i] = copy[i - 1] + 1 if ids[i] == ids[i - 1] else 0
-    return ids, copy, [r[1] for r in rows]
-
-
-SENT = "shard int, batch int, at binary, size binary, text binary, marks binary"
-MARKS = "batch int, marks binary"
-_AT = np.dtype([("key", "<u8"), ("doc", "<i8"), ("copy", "<i4"), ("row", "<i4"), ("start", "<i8")])
+    """A batch's rows by doc_id (null first), then a hash of the text: ids, hashes, texts. Rows with both equal are equal, and in one batch."""
+    rows = sorted((d is not None, d or 0, xxhash.xxh3_64_intdigest(t) >> 1, t) for d, t in zip(table["doc_id"].to_pylist(), table["text"].to_pylist(), strict=True))
+    return [d if known else None for known, d, _, _ in rows], np.array([h for _, _, h, _ in rows], np.int64), [t for *_, t in rows]
+
+
+SENT = "shard long, batch long, at binary, size binary, text binary, marks binary"
+MARKS = "batch long, marks binary"
+_AT = np.dtype([("doc", "<i8"), ("copy", "<i8"), ("row", "<i4"), ("start", "<i8")])
 _MARK = np.dtype([("row", "<i4"), ("n", "<i4"), ("start", "<i8")])
 _NONE = np.iinfo(np.int64).min
 
@@ -106,7 +102,7 @@ def send_runs(batch: int, table: pa.Table, back: pa.Table, bits: int, width: int
     ids, copy, raws = in_order(table)
     key, text, start, n = text_runs(raws, window)
     unique, _, inverse = key_layout(key, bits, width)
-    some = np.flatnonzero(counts_of(unique, width, back)[inverse] > 1) if len(key) else np.zeros(0, np.int64)
+    some = np.flatnonzero(told_counts(unique, bits, width, back)[inverse] > 1) if len(key) else np.zeros(0, np.int64)
     order = some[np.lexsort((start[some], text[some]))]
     first: dict[bytes, int] = {}
     go, marks = [], []
@@ -120,9 +116,9 @@ def send_runs(batch: int, table: pa.Table, back: pa.Table, bits: int, width: int
     at = np.zeros(len(go), _AT)
     index = np.array([i for i, _ in go], np.int64)
     rows = text[index] if len(go) else index
-    at["key"], at["row"], at["start"] = key[index], rows, start[index]
+    at["row"], at["start"] = rows, start[index]
     at["doc"], at["copy"] = np.array([_NONE if d is None else d for d in ids], np.int64)[rows] if len(go) else [], copy[rows] if len(go) else []
-    shard = (at["key"] % np.uint64(shards)).astype(np.int64)
+    shard = (key[index] % np.uint64(shards)).astype(np.int64)
     out = {c: [] for c in ("shard", "at", "size", "text", "marks")}
     for s in np.unique(shard):
         mine = np.flatnonzero(shard == s)
@@ -133,7 +129,7 @@ def send_runs(batch: int, table: pa.Table, back: pa.Table, bits: int, width: int
         for c, v in (("shard", batch % shards), ("at", b""), ("size", b""), ("text", b""), ("marks", np.array(marks, _MARK).tobytes())):
             out[c].append(v)
     b = pa.binary()
-    return pa.table({"shard": pa.array(out["shard"], pa.int32()), "batch": pa.array([batch] * len(out["shard"]), pa.int32()), "at": pa.array(out["at"], b), "size": pa.array(out["size"], b), "text": pa.array(out["text"], b), "marks": pa.array(out["marks"], b)})
+    return pa.table({"shard": pa.array(out["shard"], pa.int64()), "batch": pa.array([batch] * len(out["shard"]), pa.int64()), "at": pa.array(out["at"], b), "size": pa.array(out["size"], b), "text": pa.array(out["text"], b), "marks": pa.array(out["marks"], b)})
 
 
 def repeated_windows(texts: list[bytes], windows: np.ndarray, window: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -171,7 +167,7 @@ def mark_shard(table: pa.Table, window: int) -> pa.Table:
             texts += [text[x:y] for x, y in zip([0, *ends], ends, strict=False)]
     if at:
         at, owner = np.concatenate(at), np.concatenate(owner)
-        order = np.lexsort((at["start"], at["copy"], at["doc"]))
+        order = np.lexsort((at["start"], at["row"], at["copy"], at["doc"]))
         n = np.array([len(x) for x in texts]) - window + 1
         first: dict[bytes, int] = {}
         later = []
@@ -184,7 +180,7 @@ def mark_shard(table: pa.Table, window: int) -> pa.Table:
         if len(which):
             own = kept[which]
             place = at["start"][own] + offset
-            rank = np.lexsort((place, at["copy"][own], at["doc"][own], group))
+            rank = np.lexsort((place, at["row"][own], at["copy"][own], at["doc"][own], group))
             g = group[rank]
             again = np.r_[False, g[1:] == g[:-1]]
             found.append((own[rank][again], place[rank][again], np.ones(int(again.sum()), np.int64)))
@@ -195,7 +191,7 @@ def mark_shard(table: pa.Table, window: int) -> pa.Table:
             m = np.zeros(int(mine.sum()), _MARK)
             m["row"], m["start"], m["n"] = at["row"][index[mine]], start[mine], count[mine]
             parts.setdefault(int(b), []).append(m)
-    return pa.table({"batch": pa.array(list(parts), pa.int32()), "marks": pa.array([np.concatenate(p).tobytes() for p in parts.values()], pa.binary())})
+    return pa.table({"batch": pa.array(list(parts), pa.int64()), "marks": pa.array([np.concatenate(p).tobytes() for p in parts.values()], pa.binary())})
 
 
 def spans_of(marks: np.ndarray, window: int) -> list[tuple[int, int]]:
@@ -214,14 +210,14 @@ def repeated_spans(docs: DataFrame, window: int = 100, doc_id: str = "doc_id", t
     """Per row: doc_id, n_bytes, spans (array of [start, end) in bytes, maximal, in order), kept (the remaining bytes).
 
     A byte goes if a string of window bytes that also starts earlier covers it (smaller doc_id, or earlier in the same document); strings never cross
-    documents, overlaps count, and the input decides, not what is left. Rows of one doc_id go by text; null ids come first; null texts are empty and lose
+    documents, overlaps count, and the input decides, not what is left. Rows of one doc_id go by a hash of the text; null ids come first; null texts are empty and lose
     nothing; texts shorter than window neither; an empty table gives no rows; other columns are ignored.
     """
     if window < RUN + 1:
         raise ValueError(f"strings must be longer than {RUN} bytes")
     texts, batches, total = batched(docs, doc_id, text, batch_mb)
     bits, width = bucket_bits(total // 30), 32
-    counts = corpus_counts(texts, lambda raw: text_runs(raw, window)[0], bits, width)
+    counts = corpus_counts(texts, batches, lambda raw: text_runs(raw, window)[0], bits, width)
 
     def send(key, table, back):
         return send_runs(key[0].as_py(), table, back, bits, width, batches, window)
@@ -242,8 +238,8 @@ def repeated_spans(docs: DataFrame, window: int = 100, doc_id: str = "doc_id", t
             "spans": pa.array([[{"start": a, "end": b} for a, b in s] for s in spans], pa.list_(pa.struct([("start", pa.int64()), ("end", pa.int64())]))), "kept": pa.array(kept, pa.binary()),
         })
 
-    sent = texts.groupBy("batch").cogroup(counts.groupBy("batch")).applyInArrow(send, SENT)
-    marks = sent.groupBy("shard").applyInArrow(lambda t: mark_shard(t, window), MARKS)
+    sent = texts.groupBy("batch").cogroup(counts.groupBy("batch")).applyInArrow(send, SENT).repartition(tasks_for(docs.sparkSession, batches), "shard")
+    marks = sent.groupBy("shard").applyInArrow(lambda t: mark_shard(t, window), MARKS).repartition(tasks_for(docs.sparkSession, batches), "batch")
     return texts.groupBy("batch").cogroup(marks.groupBy("batch")).applyInArrow(finish, "doc_id long, n_bytes long, spans array<struct<start: long, end: long>>, kept binary")
 
 
