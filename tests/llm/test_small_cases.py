@@ -9,6 +9,7 @@ from collections import Counter, defaultdict
 import numpy as np
 import pyarrow as pa
 import pytest
+import xxhash
 from hypothesis import given, settings
 from hypothesis import strategies as st
 from pyspark.sql import functions as F
@@ -81,7 +82,7 @@ def brute_tokens(rows):
 
     t = Tokenizer.from_file(tokenizer_path("byte_bpe_50k.json"))
     out, start = [], 0
-    for d, x in sorted(((d, x or "") for d, x in rows if d is not None), key=lambda r: (r[0], r[1].encode())):
+    for d, x in sorted(((d, x or "") for d, x in rows), key=lambda r: (r[0] is not None, r[0] or 0, np.uint64(xxhash.xxh64_intdigest(r[1].encode(), 42)).view(np.int64))):
         ids = np.array([*t.encode(x, add_special_tokens=False).ids, 0], "<u4")
         out.append((d, start, len(ids), zlib.crc32(ids.tobytes())))
         start += len(ids)
@@ -90,7 +91,8 @@ def brute_tokens(rows):
 
 def test_token_files(docs, empty):
     path = tokenizer_path("byte_bpe_50k.json")
-    assert sorted(tuple(r) for r in token_files.token_digest(docs, path).collect()) == sorted(brute_tokens(TEXTS))
+    assert sorted((tuple(r) for r in token_files.token_digest(docs, path).collect()), key=str) == sorted(brute_tokens(TEXTS), key=str)
+    assert docs.sparkSession.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch") == "10000"
     assert token_files.token_digest(empty, path).count() == 0
 
 
@@ -135,6 +137,49 @@ def test_mixing(docs, empty):
     assert got.columns == docs.columns and got.count() > 0
 
 
+def brute_mix(spark, docs, rows, quality, seed=11):
+    """rows: (doc_id, source, text). Words taken of each row, as a sorted list of (doc_id, size, taken, epochs)."""
+    hashed = docs.select("doc_id", "source", F.xxhash64("text").alias("hash"), mixing.draw(F.struct("doc_id", F.xxhash64("text").alias("hash")), seed).alias("u")).distinct().collect()
+    u = {(r["doc_id"], r["source"], r["hash"]): r["u"] for r in hashed}
+    text = lambda t: 42 if t is None else int(np.uint64(xxhash.xxh64_intdigest(t.encode(), 42)).view(np.int64))
+    units = [(d, s, text(t), len(words(t))) for d, s, t in rows]
+    sizes = Counter()
+    for _, s, _, n in units:
+        sizes[s] += n
+    names = sorted(sizes, key=lambda s: (s is None, s or ""))
+    target = mixing.targets(dict(sizes), {s: i % 3 + 1 for i, s in enumerate(names)})
+    out = []
+    for s in names:
+        budget = round(target[s])
+        epochs, rest = divmod(budget, sizes[s]) if sizes[s] else (0, 0)
+        mine = sorted((x for x in units if x[1] == s), key=lambda x: (-math.log(u[x[:3]]) / quality.get(x[0], 1.0), x[0] is not None, x[0] or 0, x[2]))
+        for d, _, _, n in mine:
+            part = min(n, rest)
+            rest -= part
+            out.append((d, n, epochs * n + part, epochs))
+    return sorted(out, key=str)
+
+
+def test_mixing_against_brute_force(spark, docs):
+    extra = [(None, prose(9, 70 + i % 3), "en", "s1", 0, 1, 5, 6, 7) for i in range(40)] + [(50, prose(30, 80), "en", "s0", 0, 1, 5, 6, 7)] * 30
+    df = docs.union(spark.createDataFrame(extra, SCHEMA))
+    rows = [(r["doc_id"], r["source"], r["text"]) for r in df.collect()]
+    quality = {d: 0.5 + (d % 4) for d in range(1, 23)}
+    table = spark.createDataFrame([(d, w) for d, w in quality.items()] + [(5, 0.1), (7, -3.0), (None, 9.0)], "doc_id long, weight double")
+    quality[7] = max(quality[7], -3.0)
+    want = brute_mix(spark, df, rows, quality)
+    for each in (50_000, 3):
+        got = mixing.mix(df, quality=table, rows_per_bucket=each).collect()
+        assert sorted(((r["doc_id"], r["size"], r["taken"], r["epochs"]) for r in got), key=str) == want
+    # the stage repeats rows: whole texts, an epoch each and one more where the rest reaches them; rows without words stay
+    times = Counter()
+    for d, n, taken, epochs in want:
+        times[d] += 1 if n == 0 else epochs + (taken > epochs * n)
+    kept = mixing.take(df, quality=table)
+    got = Counter(r["doc_id"] for r in kept.collect())
+    assert kept.dtypes == df.dtypes and got == Counter({d: k for d, k in times.items() if k})
+
+
 def test_targets_are_shared_again():
     assert mixing.targets({"a": 100, "b": 1, "c": 1}, {"a": 1, "b": 2, "c": 3}) == {"a": 96.0, "b": 3.0, "c": 3.0}
     assert mixing.targets({}, {}) == {}
@@ -202,12 +247,28 @@ def test_clean_judges_rows_without_or_with_repeated_ids(spark):
 
 def test_multi_index_holds_all_within_radius():
     g = decontaminate.Items(10, 5)
-    for i in range(200):
-        g.add(i, RNG.integers(0, 2**63, 6).astype(np.uint64))
+    for _ in range(200):
+        g.add(1, RNG.integers(0, 2**63, 6).astype(np.uint64))
     g.close()
-    prints = g.prints[:50] ^ np.uint64(0b1011011)
-    far = np.bitwise_count(prints[:, None] ^ g.prints[None])
-    assert np.array_equal(g.candidates(prints), far <= decontaminate.RADIUS)
+    prints = g.prints.T[:50].copy()
+    for i in range(50):
+        for bit in RNG.choice(256, 2 * i, replace=False):
+            prints[i, bit // 64] ^= np.uint64(1 << int(bit % 64))
+    far = np.bitwise_count(prints[:, None] ^ g.prints.T[None]).sum(axis=2)
+    for cells in (1 << 20, 300):
+        got = set(zip(*(v.tolist() for v in g.candidates(prints, cells)), strict=True))
+        assert got == set(zip(*(v.tolist() for v in np.nonzero(far <= decontaminate.RADIUS)), strict=True))
+    assert all((i, i) in got for i in range(40))
+
+
+def test_fingerprints_of_windows_at_the_threshold():
+    """Multisets of 35 shingles that share 30 are just similar; their fingerprints lie well inside the radius."""
+    far = []
+    for i in range(200):
+        h = np.random.default_rng(i).integers(0, 2**63, 40).astype(np.uint64)
+        a, b = (decontaminate.simhash(decontaminate.signs(x).sum(axis=0, keepdims=True))[0] for x in (h[:35], h[5:]))
+        far.append(int(np.bitwise_count(a ^ b).sum()))
+    assert 36 < np.mean(far) < 52 and max(far) <= decontaminate.RADIUS - 10
 
 
 def brute_scores(rows, alpha=0.4):
@@ -289,8 +350,8 @@ def test_jaccard_index_of_shared_passages_grows_with_the_documents(spark):
     for n in (300, 1200):
         rows = shared_passages(n)
         sets = [np.unique(jaccard_join.token_set(t.encode())).view(np.int64).tolist() for _, t in rows]
-        df = spark.createDataFrame([(d, d, len(s), s) for (d, _), s in zip(rows, sets, strict=True)], "node long, component long, n long, held array<long>")
-        found, links = jaccard_join.candidates(df, 75, 100, 4, 4)
+        df = spark.createDataFrame([(d, d, len(s), s, [1] * len(s)) for (d, _), s in zip(rows, sets, strict=True)], "node long, component long, n long, held array<long>, cuts array<int>")
+        found, links = jaccard_join.candidates(common.saved(jaccard_join.classed(df, 75, 100), "classes"), 75, 100, 4, 4)
         size[n] = sum(t.count() for t in found)
         pairs = {(r["a"], r["b"]) for t in [*found, *links] for r in t.collect()}
         assert all((d, n + d) in pairs or (n + d, d) in pairs for d, _ in rows[:n:50])
@@ -356,6 +417,45 @@ def test_line_quality(spark, empty):
     assert line_quality.keep_good(docs, model).columns == docs.columns
 
 
+def test_line_quality_of_conflicting_labels_repeated_rows_and_other_columns(spark):
+    rows = [(i, prose(30, i) if i % 2 else "*** !!! ### " * 12, "x", 0.5) for i in range(60)]
+    docs = spark.createDataFrame([*rows, *rows[:20], (None, prose(30, 3), "x", 0.1), (None, None, None, None)], "doc_id long, text string, held_out string, score double")
+    good = [(i, i % 2) for i in range(60)]
+    labels = spark.createDataFrame([*good, *good[:9], (0, 1), (4, 5), (None, 1)], "doc_id long, quality int")
+    reverse = spark.createDataFrame([(None, 1), (4, 5), (0, 1), *good[::-1], *good[:9]], "doc_id long, quality int")
+    models = [line_quality.train(docs, x) for x in (labels, reverse, labels.filter("doc_id <> 0"))]
+    scores = [sorted((-1 if r["doc_id"] is None else r["doc_id"], round(r["score"], 9)) for r in line_quality.quality(docs, m).collect()) for m in models]
+    assert scores[0] == scores[1] == scores[2] and len(scores[0]) == 82
+    kept = line_quality.keep_good(docs, models[0])
+    assert kept.dtypes == docs.dtypes and kept.count() == sum(s >= 0.5 for _, s in scores[0])
+
+
+def test_line_quality_score_against_its_definition():
+    """A document's score from the model's numbers, with marginals over all labellings."""
+    rng = np.random.default_rng(3)
+    model = line_quality.LineField(rng.normal(size=15), rng.uniform(0.5, 2, 15), rng.normal(size=46) / 4, rng.normal(size=(2, 2)), 1.3, 0.2)
+    texts = [b"One line.", b"A first line!\n\n*** | 12 ***", b"", b"same line\nsame line\nOTHER, line\n"]
+    for t, got in zip(texts, model.score(texts, chunk=8), strict=True):
+        x, length, per_text = line_quality.line_features([t])
+        z, n = (x - model.mean) / model.scale, len(x)
+        rows = [np.r_[z[i], z[i - 1] if i else 0 * z[i], z[i + 1] if i + 1 < n else 0 * z[i], 1.0] @ model.weights for i in range(n)]
+        total, good = 0.0, np.zeros(n)
+        for y in itertools.product((0, 1), repeat=n):
+            p = math.exp(sum(r * v for r, v in zip(rows, y, strict=True)) + sum(model.step[a, b] for a, b in itertools.pairwise(y)))
+            total += p
+            good += p * np.array(y)
+        s = np.clip(((length + 1) * good / total).sum() / (length + 1).sum(), 1e-4, 1 - 1e-4)
+        assert got == pytest.approx(1 / (1 + math.exp(-(1.3 * math.log(s / (1 - s)) + 0.2))))
+
+
+def test_marginals_of_very_many_lines_stay_small():
+    n = np.r_[np.full(255, 2), 50_000]
+    assert sum(len(b) * n[b].max() for b in line_quality.blocks_of(n, 100_000)) < 2 * n.sum()
+    emit = np.random.default_rng(2).normal(size=n.sum())
+    good, pairs, _ = line_quality.marginals(emit, np.zeros((2, 2)), n)
+    assert np.allclose(good, 1 / (1 + np.exp(-emit))) and pairs.sum() == pytest.approx(n.sum() - len(n))
+
+
 def test_chain_marginals_against_all_labellings():
     rng = np.random.default_rng(1)
     n = np.array([4, 1, 3])
@@ -412,6 +512,46 @@ def test_embeddings(spark, empty):
     assert embedding_dedup.embedding_components(df.limit(0)).count() == 0
 
 
+def brute_links(rows, least=0.98):
+    """rows: (vec_id, vector, label). Linked pairs by all comparisons."""
+    out = set()
+    for k in {k for *_, k in rows}:
+        mine = [(v, np.array(e, float)) for v, e, l in rows if l == k]
+        x = np.stack([e / np.linalg.norm(e) for _, e in mine])
+        for i, j in zip(*np.nonzero(np.triu(x @ x.T >= least, 1)), strict=True):
+            out.add((mine[i][0], mine[j][0]))
+    return out
+
+
+@pytest.mark.parametrize("directions", [64, 8, 2])
+def test_embedding_recall_in_64_dimensions(spark, directions):
+    rng = np.random.default_rng(directions)
+    basis = np.linalg.qr(rng.normal(size=(64, directions)))[0].T
+    base = rng.normal(size=(400, directions))
+    steps = rng.normal(size=(1200, directions))
+    steps *= (rng.uniform(0.05, 0.25, 1200) * np.linalg.norm(base[np.arange(1200) % 400], axis=1) / np.linalg.norm(steps, axis=1))[:, None]
+    x = np.r_[base, base[np.arange(1200) % 400] + steps] @ basis
+    rows = [(i, [float(v) for v in e], i % 400 % 3) for i, e in enumerate(x)]
+    real = brute_links(rows)
+    df = spark.createDataFrame(rows, "vec_id long, embedding array<double>, label int")
+    for recall, size, floor in ((0.9999, 16, 0.9), (0.9999, 64, 0.9), (1.0, 16, 1.0)):
+        links = sum(r["n_links"] for r in embedding_dedup.embedding_components(df, recall=recall, size=size).select("n_links").collect())
+        assert floor * 2 * len(real) <= links <= 2 * len(real)
+    assert len(real) > 300
+
+
+def test_embeddings_without_ids_and_of_many_lengths(spark):
+    rows = [(None, [1.0, 2.0], 0), (None, [1.0, 2.0], 0), (1, [1.0, 2.0], 0), (2, [2.0, 4.0], 0), (3, [5.0, 5.1], 0)]
+    rows += [(100 + 2 * n + k, [1.0 + (i + k) % 2 * 0.01 for i in range(n)], 1) for n in range(1, 90) for k in (0, 1)]
+    df = spark.createDataFrame(rows, "vec_id long, embedding array<double>, label int")
+    got = {}
+    for r in embedding_dedup.embedding_components(df).collect():
+        got.setdefault(r["vec_id"], []).append((r["n_links"], r["component_id"], r["kept"]))
+    assert got[None] == [(0, None, True)] * 2 and got[1] == [(1, 1, True)] and got[2] == [(1, 1, False)] and got[3] == [(0, 3, True)]
+    assert all(got[100 + 2 * n + k] == [(1, 100 + 2 * n, k == 0)] for n in range(1, 90) for k in (0, 1))
+    assert embedding_dedup.book_size(1000) == 16 and embedding_dedup.book_size(10**7) == 198 and embedding_dedup.book_size(10**12) == 1024
+
+
 def brute_repeats(rows, window=100):
     seen, out = set(), []
     for d, t in sorted(rows, key=lambda r: (r[0] is not None, r[0] or 0, (r[1] or "").encode())):
