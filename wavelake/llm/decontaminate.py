@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import functools
 from collections.abc import Iterator
 
 import numpy as np
@@ -11,33 +10,34 @@ from pyspark import Broadcast
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import gram_hashes, word_hashes
+from .common import gram_hashes, mixed, word_hashes
 
-#: Fingerprints of multisets with weighted Jaccard similarity 0.75 differ in 11 of 64 bits on average, with a deviation of 3; beyond 28 is one in 10^8.
-RADIUS, BLOCKS = 28, 8
-_NEAR = np.array([bin(a).count("1") for a in range(256)], np.uint8)
+#: 256 bits in four blocks. Fingerprints of multisets with weighted Jaccard similarity 0.75 differ in 44 bits on average, with a deviation of 6, so beyond 79
+#: is one in 10^8; those of unrelated ones differ in 128, with a deviation of 8.
+WORDS, RADIUS = 4, 79
 
 
 def simhash(bit_sums: np.ndarray) -> np.ndarray:
-    """Fingerprints from sums of +1 and -1 over 64 bits, one row each."""
-    return np.packbits(bit_sums > 0, axis=1, bitorder="little").view("<u8").ravel()
+    """Fingerprints from sums of +1 and -1 over all bits: rows of four 64-bit blocks."""
+    return np.packbits(bit_sums > 0, axis=1, bitorder="little").view("<u8")
 
 
 def signs(hashes: np.ndarray) -> np.ndarray:
-    bits = np.unpackbits(hashes.astype("<u8").view(np.uint8).reshape(-1, 8), axis=1, bitorder="little")
+    """+1 or -1 for each bit of a hash, which is mixed anew for every block."""
+    blocks = np.stack([mixed(hashes ^ np.uint64(0x9E3779B97F4A7C15 * k % 2**64)) for k in range(WORDS)], axis=1)
+    bits = np.unpackbits(blocks.astype("<u8").view(np.uint8).reshape(-1, 8 * WORDS), axis=1, bitorder="little")
     return bits.astype(np.int32) * 2 - 1
 
 
 class Items:
-    """Benchmark items of one length in words, with the tables of the multi-index: by block and byte, which items lie within RADIUS // BLOCKS bits.
+    """Benchmark items of one length in words, with the multi-index over their fingerprints.
 
-    If two 64-bit fingerprints differ in at most RADIUS bits, then in one of the 8 blocks they differ in at most RADIUS // 8 bits, so the union over blocks
-    holds every item within the radius.
+    If two fingerprints differ in at most RADIUS bits, then in one of the four blocks they differ in at most RADIUS // 4 (19 of 64), so the union over blocks
+    holds every item within the radius. Of unrelated fingerprints 0.3 % pass a block, and none to speak of the whole distance.
     """
 
     def __init__(self, length: int, k: int):
-        self.length, self.k, self.ids, self.unique, self.count, prints = length, min(k, length), [], [], [], []
-        self.prints = prints
+        self.length, self.k, self.ids, self.unique, self.count, self.prints = length, min(k, length), [], [], [], []
 
     def add(self, item_id: int, grams: np.ndarray) -> None:
         unique, count = np.unique(grams, return_counts=True)
@@ -47,20 +47,21 @@ class Items:
         self.prints.append(simhash(signs(grams).sum(axis=0, keepdims=True))[0])
 
     def close(self) -> None:
-        self.prints = np.array(self.prints, np.uint64)
-        byte = self.prints.astype("<u8").view(np.uint8).reshape(-1, BLOCKS)
-        near = _NEAR[np.arange(256, dtype=np.uint8)[None, :, None] ^ byte.T[:, None, :]] <= RADIUS // BLOCKS
-        self.tables = np.packbits(near, axis=2)
-
-    def candidates(self, prints: np.ndarray) -> np.ndarray:
-        """Which items (columns) lie within the radius of which fingerprints (rows)."""
-        byte = prints.astype("<u8").view(np.uint8).reshape(-1, BLOCKS)
-        met = functools.reduce(np.bitwise_or, [self.tables[b, byte[:, b]] for b in range(BLOCKS)])
-        rows, items = np.nonzero(np.unpackbits(met, axis=1, count=len(self.ids)))
-        far = np.bitwise_count(prints[rows] ^ self.prints[items])
-        out = np.zeros((len(prints), len(self.ids)), bool)
-        out[rows[far <= RADIUS], items[far <= RADIUS]] = True
-        return out
+        self.prints = np.ascontiguousarray(np.array(self.prints, np.uint64).reshape(-1, WORDS).T)
+
+    def candidates(self, prints: np.ndarray, cells: int = 1 << 20) -> tuple[np.ndarray, np.ndarray]:
+        """Pairs (row of prints, item) within the radius; about cells pairs are looked at a time, and only those that pass are kept."""
+        rows, items, step = [np.zeros(0, np.int64)], [np.zeros(0, np.int64)], max(1, cells // max(1, len(self.ids)))
+        for a in range(0, len(prints), step):
+            part = prints[a : a + step]
+            near = np.zeros((len(part), len(self.ids)), bool)
+            for w in range(WORDS):
+                near |= np.bitwise_count(part[:, w, None] ^ self.prints[w][None]) <= RADIUS // WORDS
+            i, j = np.nonzero(near)
+            whole = sum(np.bitwise_count(part[i, w] ^ self.prints[w][j]).astype(np.int32) for w in range(WORDS)) <= RADIUS
+            rows.append(i[whole] + a)
+            items.append(j[whole])
+        return np.concatenate(rows), np.concatenate(items)
 
 
 class Index:
@@ -119,14 +120,13 @@ class Index:
             if hi - lo > 4 * (len(part) + s):  # apart: one by one
                 sums = np.stack([signs(grams[x : x + s]).sum(axis=0) for x in part])
             else:
-                sums = np.concatenate([np.zeros((1, 64), np.int32), np.cumsum(signs(grams[lo:hi]), axis=0, dtype=np.int32)])
+                sums = np.concatenate([np.zeros((1, 64 * WORDS), np.int32), np.cumsum(signs(grams[lo:hi]), axis=0, dtype=np.int32)])
                 sums = sums[part - lo + s] - sums[part - lo]
-            near = g.candidates(simhash(sums))
-            for i in np.flatnonzero(near.any(axis=0)):
-                for x in part[near[:, i]]:
-                    best = found.get(int(i), (0.0, 0))
-                    if best[0] < 1 and (similar := self._similarity(g, int(i), grams[x : x + s])) >= least and similar > best[0]:
-                        found[int(i)] = (similar, int(x))
+            for r, i in zip(*(v.tolist() for v in g.candidates(simhash(sums))), strict=True):
+                x = part[r]
+                best = found.get(i, (0.0, 0))
+                if best[0] < 1 and (similar := self._similarity(g, i, grams[x : x + s])) >= least and similar > best[0]:
+                    found[i] = (similar, int(x))
         return [(g.ids[i], x, s + g.k - 1, similar) for i, (similar, x) in found.items()]
 
     @staticmethod

@@ -6,6 +6,8 @@ query's nearest ones, so the squared distances to both bisectors bound its cost.
 first. The share of a step of length r in any two directions of n dimensions, squared and summed, exceeds s with probability exp(-s n / 2 r^2) for random
 steps, so it stops at s = min(r^2, r^2 ln(1 / (1 - recall)) 2 / n): at r^2 no neighbour can be missed. Cells' vectors are then compared exactly, in double
 precision. Of two cells only the one with the smaller number asks the other, so both ends of a pair know the same.
+
+Codebooks grow with the square root of the number of vectors, so that a cell holds about as many however many there are.
 """
 
 from __future__ import annotations
@@ -20,8 +22,10 @@ from pyspark.sql import functions as F
 
 from .common import components, saved
 
-#: The codebooks are fitted on at most this many vectors; every vector is indexed.
+#: The codebooks are fitted on at most this many vectors, of all lengths together; every vector is indexed.
 SAMPLE = 20_000
+#: Centres of a half: at least and at most; the books go to every executor, so they are bounded.
+LEAST_SIZE, MOST_SIZE = 16, 1024
 
 
 def codebook(x: np.ndarray, size: int, seed: int, rounds: int = 12) -> np.ndarray:
@@ -42,6 +46,10 @@ class Grid:
     def __init__(self, sample: np.ndarray, size: int, seed: int = 5):
         half = sample.shape[1] // 2
         self.half, self.books = half, [codebook(sample[:, :half], size, seed), codebook(sample[:, half:], size, seed + 1)]
+        rest = np.concatenate([part - book[((book**2).sum(1)[None] - 2 * part @ book.T).argmin(axis=1)] for part, book in zip((sample[:, :half], sample[:, half:]), self.books, strict=True)], axis=1)
+        spread = rest.T @ rest
+        #: In how many directions vectors differ from their centres: the participation ratio of the covariance's eigenvalues.
+        self.dimensions = float(max(1.0, np.trace(spread) ** 2 / max((spread**2).sum(), 1e-300)))
         self.apart = [np.sqrt(np.maximum(((b[:, None] - b[None]) ** 2).sum(-1), 0)) for b in self.books]
 
     def bounds(self, x: np.ndarray) -> list[tuple[np.ndarray, np.ndarray]]:
@@ -71,6 +79,18 @@ class Grid:
         return out
 
 
+def book_size(vectors: int, each: int = 256) -> int:
+    """Centres of a half for about each vectors in a cell of the product grid."""
+    return int(min(MOST_SIZE, max(LEAST_SIZE, math.ceil(math.sqrt(vectors / each)))))
+
+
+def reach(least: float, recall: float, n: float) -> float:
+    """The sum of squared bounds up to which cells are visited: r^2 for recall 1, less where random steps in n dimensions hardly go that far in two of them.
+    n is measured, see Grid."""
+    radius = (2 - 2 * least) * (1 + 1e-9) + 1e-9
+    return radius if recall >= 1 else radius * min(1.0, math.log(1 / (1 - recall)) * 2 / n)
+
+
 def unit(vectors: list) -> np.ndarray:
     x = np.array(vectors, np.float64)
     x /= np.abs(x).max(axis=1, keepdims=True)  # else squares of tiny or huge numbers are lost
@@ -102,16 +122,17 @@ def block_links(table: pa.Table, least: float) -> pa.Table:
     return pa.table({"vec_id": pa.array(v[some], pa.int64()), "links": pa.array(n[some], pa.int64()), "root": pa.array(r[some], pa.int64())})
 
 
-def embedding_components(df: DataFrame, least: float = 0.98, recall: float = 0.9999, size: int = 16, block: int = 1024, vec_id: str = "vec_id", label: str = "label", embedding: str = "embedding") -> DataFrame:
+def embedding_components(df: DataFrame, least: float = 0.98, recall: float = 0.9999, size: int | None = None, block: int = 1024, vec_id: str = "vec_id", label: str = "label", embedding: str = "embedding") -> DataFrame:
     """Per row: vec_id, n_links, component_id, kept, for links of equal non-null labels with cosine >= least.
 
     Null, empty and zero vectors, and those with null or non-finite components, link with nothing; so do rows with a null label. Vectors of different
-    length never link. Equal vectors of a label are one class, which is compared once and counts as many as it holds. Repeated rows of one vec_id and
-    vector are one vector and give a row each; an empty table gives no rows; other columns are ignored.
+    length never link, and neither do rows without a vec_id. Equal vectors of a label are one class, which is compared once and counts as many as it holds.
+    Repeated rows of one vec_id and vector are one vector and give a row each; an empty table gives no rows; other columns are ignored. size: centres of a
+    half, by default from the number of vectors. recall: the traversal's target for steps random in all dimensions; 1 visits all cells that can matter.
     """
     spark = df.sparkSession
     e = F.col(embedding).cast("array<double>")
-    fine = F.col(label).isNotNull() & F.col(embedding).isNotNull() & (F.size(e) > 0) & F.forall(e, lambda v: v.isNotNull() & (F.abs(v) < float("inf"))) & F.exists(e, lambda v: v != 0)
+    fine = F.col(vec_id).isNotNull() & F.col(label).isNotNull() & F.col(embedding).isNotNull() & (F.size(e) > 0) & F.forall(e, lambda v: v.isNotNull() & (F.abs(v) < float("inf"))) & F.exists(e, lambda v: v != 0)
     base = df.select(F.col(vec_id).cast("long").alias("vec_id"), F.col(label).cast("string").alias("label"), e.alias("embedding"), F.coalesce(fine, F.lit(False)).alias("fine"))
     base = base.withColumn("h1", F.when(F.col("fine"), F.xxhash64("embedding"))).withColumn("h2", F.when(F.col("fine"), F.xxhash64(F.lit(7), "embedding")))
     key = ["label", "h1", "h2"]
@@ -119,13 +140,13 @@ def embedding_components(df: DataFrame, least: float = 0.98, recall: float = 0.9
     classes = saved(members.groupBy(*key).agg(F.min("vec_id").alias("rep"), F.count("*").alias("held")), "classes")
     reps = base.filter("fine").join(classes.withColumnRenamed("rep", "vec_id"), ["vec_id", *key]).dropDuplicates(["vec_id", *key])
     reps = saved(reps.select("vec_id", F.concat_ws(":", "label", F.size("embedding").cast("string")).alias("label"), "embedding", "held"), "reps")
-    sizes = [r[0] for r in reps.select(F.size("embedding")).distinct().limit(64).collect()]
-    grids = {}
-    for n in sizes:
-        sample = reps.filter(F.size("embedding") == n).orderBy(F.xxhash64("vec_id")).limit(SAMPLE).select("embedding").collect()
-        grids[n] = Grid(unit([r[0] for r in sample]), size) if n > 1 else None
+    size = size or book_size(reps.count())
+    sample: dict[int, list] = {}
+    for r in reps.orderBy(F.xxhash64("vec_id")).limit(SAMPLE).select("embedding").collect():
+        sample.setdefault(len(r[0]), []).append(r[0])
+    # vectors of a length too rare for the sample have one cell, as have single numbers
+    grids = {n: Grid(unit(v), size) for n, v in sample.items() if n > 1}
     send = spark.sparkContext.broadcast(grids)
-    radius = (2 - 2 * least) * (1 + 1e-9) + 1e-9
 
     def place(batches):
         for whole, a in ((w, a) for w in batches for a in range(0, w.num_rows, 512)):
@@ -137,7 +158,7 @@ def embedding_components(df: DataFrame, least: float = 0.98, recall: float = 0.9
                 mine = [i for i, v in enumerate(vectors) if len(v) == n]
                 x, grid = unit([vectors[i] for i in mine]), send.value.get(n)
                 halves = grid.bounds(x) if grid else None
-                most = radius * min(1.0, math.log(1 / (1 - recall)) * 2 / n)
+                most = reach(least, recall, grid.dimensions) if grid else 0.0
                 for k, i in enumerate(mine):
                     own, visited = 0, [0]
                     if grid:

@@ -38,13 +38,14 @@ def line_features(texts: list[bytes]) -> tuple[np.ndarray, np.ndarray, np.ndarra
     words = np.maximum(np.add.reduceat(first, starts, dtype=np.int64), 0).astype(np.float64)
     marked = np.isin(kind, (5, 6, 7)) & np.r_[blank[1:], True]
     odd_words = np.add.reduceat(marked, starts, dtype=np.int64).astype(np.float64)
-    same = np.r_[False, (raw[1:] == raw[:-1]) & (kind[1:] != 2)]
+    same = np.r_[False, (raw[1:] == raw[:-1]) & (kind[1:] != 2) & (raw[1:] != 10)]
     runs = np.add.reduceat(same, starts, dtype=np.int64).astype(np.float64)
     # how many words are the word before them, by the sum of their bytes' codes
     at_word = np.flatnonzero(first)
     code = np.add.reduceat(np.where(blank, 0, _CODE[raw]), at_word) if len(at_word) else np.zeros(0, np.int64)
     echo = np.zeros(len(raw), bool)
-    echo[at_word[1:][code[1:] == code[:-1]]] = True
+    text = np.searchsorted(starts[np.cumsum(per_text) - per_text], at_word, side="right")
+    echo[at_word[1:][(code[1:] == code[:-1]) & (text[1:] == text[:-1])]] = True
     echoes = np.add.reduceat(echo, starts, dtype=np.int64).astype(np.float64)
     again, at = np.zeros(len(lines)), 0
     for r in rows:
@@ -65,24 +66,42 @@ def line_features(texts: list[bytes]) -> tuple[np.ndarray, np.ndarray, np.ndarra
     return out, length, per_text
 
 
+def _ends(per_text: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """First and last line of each text."""
+    after = np.cumsum(per_text)
+    return after - per_text, after - 1
+
+
 def with_neighbours(x: np.ndarray, per_text: np.ndarray) -> np.ndarray:
     """Each line's features, then those of the line before and of the line after (zeros at a text's ends)."""
     before, after = np.zeros_like(x), np.zeros_like(x)
     before[1:], after[:-1] = x[:-1], x[1:]
-    ends = np.cumsum(per_text)
-    before[ends - per_text], after[ends - 1] = 0, 0
+    first, last = _ends(per_text)
+    before[first], after[last] = 0, 0
     return np.concatenate([x, before, after, np.ones((len(x), 1))], axis=1)
 
 
-def marginals(emit: np.ndarray, step: np.ndarray, per_text: np.ndarray, block: int = 512) -> tuple[np.ndarray, np.ndarray, float]:
+def blocks_of(per_text: np.ndarray, cells: int) -> list[np.ndarray]:
+    """Texts in blocks of alike length, so that longest text times texts stays below cells, or one text alone."""
+    order, out, a = np.argsort(per_text, kind="stable"), [], 0
+    size = per_text[order]
+    while a < len(order):
+        b = a + 1
+        while b < len(order) and (b + 1 - a) * size[b] <= cells:
+            b += 1
+        out.append(order[a:b])
+        a = b
+    return out
+
+
+def marginals(emit: np.ndarray, step: np.ndarray, per_text: np.ndarray, cells: int = 100_000) -> tuple[np.ndarray, np.ndarray, float]:
     """Forward-backward over many chains at once. emit: score of 'good' against 'bad' for each line; step: 2 x 2 transition scores.
 
-    Gives P(good) of each line, the expected transitions summed over all chains, and the log-normaliser's sum. Texts go in blocks of alike length."""
+    Gives P(good) of each line, the expected transitions summed over all chains, and the log-normaliser's sum. Texts go in blocks of alike length, so that
+    memory follows the lines there are and not the longest text."""
     good, pairs, total = np.zeros(len(emit)), np.zeros((2, 2)), 0.0
     first = np.cumsum(per_text) - per_text
-    order = np.argsort(per_text, kind="stable")
-    for a in range(0, len(order), block):
-        part = order[a : a + block]
+    for part in blocks_of(per_text, cells):
         n, at = per_text[part], first[part]
         longest, k = int(n.max()), len(part)
         e = np.zeros((longest, k, 2))
@@ -141,11 +160,24 @@ class LineField:
         return np.log(s / (1 - s))
 
     def _emit(self, x: np.ndarray, per_text: np.ndarray) -> np.ndarray:
-        return with_neighbours((x - self.mean) / self.scale, per_text) @ self.weights
-
-    def score(self, texts: list[bytes]) -> np.ndarray:
-        if not texts:
-            return np.zeros(0)
+        """with_neighbours(x) @ weights, without the wide table."""
+        own, before, after = self.weights[:-1].reshape(3, -1)
+        z = (x - self.mean) / self.scale
+        out = z @ own + self.weights[-1]
+        first, last = _ends(per_text)
+        left, right = z @ before, z @ after
+        left[last], right[first] = 0, 0
+        out[1:] += left[:-1]
+        out[:-1] += right[1:]
+        return out
+
+    def score(self, texts: list[bytes], chunk: int = 4 << 20) -> np.ndarray:
+        """One score for each text; about chunk bytes of texts at a time, or one text."""
+        size = np.cumsum([len(t) for t in texts], dtype=np.int64) // chunk
+        cuts = np.flatnonzero(np.diff(size, prepend=-1)) if len(texts) else []
+        return np.concatenate([np.zeros(0), *[self._score(texts[a:b]) for a, b in zip(cuts, [*cuts[1:], len(texts)], strict=True)]])
+
+    def _score(self, texts: list[bytes]) -> np.ndarray:
         x, length, per_text = line_features(texts)
         good, _, _ = marginals(self._emit(x, per_text), self.step, per_text)
         return 1 / (1 + np.exp(-np.clip(self.slope * self.share(good, length, per_text) + self.offset, -30, 30)))
@@ -189,10 +221,12 @@ class LineField:
 
 
 def train(docs: DataFrame, labels: DataFrame, per_class: int = SAMPLE_PER_CLASS, doc_id: str = "doc_id", text: str = "text") -> LineField | None:
-    """Fit on at most per_class labelled documents of each class (by hash of the id) out of those whose crc32(doc_id) mod 3 is not 1; None without any."""
+    """Fit on at most per_class labelled documents of each class (by hash of the id) out of those whose crc32(doc_id) mod 3 is not 1; None without any.
+    Documents that labels contradict each other about are left out, as are labels other than 0 and 1; of rows that share a doc_id each is fitted on."""
     spark = docs.sparkSession
     fold = F.pmod(F.crc32(F.col("doc_id").cast("string").cast("binary")), F.lit(3))
-    known = labels.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("quality").cast("int").alias("quality")).filter("quality in (0, 1) and doc_id is not null").filter(fold != 1).dropDuplicates(["doc_id"])
+    known = labels.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("quality").cast("int").alias("quality")).filter("quality in (0, 1) and doc_id is not null").filter(fold != 1)
+    known = known.groupBy("doc_id").agg(F.min("quality").alias("quality"), F.max("quality").alias("other")).filter("quality = other").drop("other")
     sizes = {r["quality"]: r["n"] for r in known.groupBy("quality").agg(F.count("*").alias("n")).collect()}
     if len(sizes) < 2:
         return None

@@ -43,11 +43,12 @@ def unpack(raw: bytes | memoryview, count: int, width: int) -> np.ndarray:
 
 
 class Writer:
-    """One file: magic, header length, header (JSON), packed blocks, block offsets, then document ids and starts. Blocks go out as they fill up."""
+    """One file: magic, header length, header (JSON), packed blocks, block offsets, then document ids and starts. Blocks go out as they fill up. Documents
+    without an id come first; the tail has their number, and 0 stands in their place."""
 
     def __init__(self, out, vocabulary: int):
         self.out, self.width, self.rest, self.n = out, width_for(vocabulary), np.zeros(0, np.uint32), 0
-        self.ids, self.starts, self.offsets, self.at = [], [], [], 0
+        self.ids, self.starts, self.offsets, self.at, self.nulls = [], [], [], 0, 0
         head = json.dumps({"vocabulary": vocabulary, "width": self.width, "block": BLOCK}).encode()
         self._put(MAGIC + len(head).to_bytes(4, "little") + head)
 
@@ -55,7 +56,8 @@ class Writer:
         self.out.write(raw)
         self.at += len(raw)
 
-    def add(self, doc_ids: np.ndarray, lengths: np.ndarray, ids: np.ndarray) -> None:
+    def add(self, doc_ids: np.ndarray, lengths: np.ndarray, ids: np.ndarray, nulls: int = 0) -> None:
+        self.nulls += nulls
         self.ids.append(doc_ids.astype("<i8"))
         self.starts.append(self.n + np.cumsum(lengths, dtype=np.uint64) - lengths)
         self.n += len(ids)
@@ -76,7 +78,7 @@ class Writer:
         starts = np.concatenate([*self.starts, np.array([self.n], np.uint64)]).astype("<u8")
         tail = self.at
         self._put(np.array(self.offsets, "<u8").tobytes() + doc_ids.astype("<i8").tobytes() + starts.tobytes())
-        self._put(np.array([len(self.offsets), len(doc_ids), tail], "<u8").tobytes())
+        self._put(np.array([len(self.offsets), len(doc_ids), self.nulls, tail], "<u8").tobytes())
         return len(doc_ids), self.n
 
 
@@ -91,8 +93,8 @@ class Reader:
         head = json.loads(self.file.read(int.from_bytes(self.file.read(4), "little")))
         self.width, self.block = head["width"], head["block"]
         end = self.file.seek(0, 2)
-        self.file.seek(end - 24)
-        blocks, docs, tail = np.frombuffer(self.file.read(24), "<u8").astype(np.int64)
+        self.file.seek(end - 32)
+        blocks, docs, self.nulls, tail = np.frombuffer(self.file.read(32), "<u8").astype(np.int64)
         self.file.seek(int(tail))
         self.offsets = np.frombuffer(self.file.read(8 * int(blocks)), "<u8").astype(np.int64)
         self.doc_ids = np.frombuffer(self.file.read(8 * int(docs)), "<i8")
@@ -182,20 +184,29 @@ def encoder(path: str) -> Encoder:
     return Encoder(path)
 
 
+def qualified(spark: SparkSession, folder: str) -> str:
+    """The folder with its file system, as the cluster's settings complete it."""
+    path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(folder)
+    return path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).makeQualified(path).toString()
+
+
 def file_system(uri: str) -> tuple[fs.FileSystem, str]:
     if uri.startswith("file:/") and not uri.startswith("file://"):
         uri = "file://" + uri[5:]
-    return fs.FileSystem.from_uri(uri) if "://" in uri else (fs.LocalFileSystem(), uri)
+    return fs.FileSystem.from_uri(uri)
 
 
 def write_tokens(docs: DataFrame, tokenizer: str, folder: str, end_id: int = 0, files: int | None = None, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
     """Encode every whole text (null: empty) and write ids to bit-packed files in folder, in ascending doc_id over files and inside each. Rows of the result:
-    file number, documents, ids. Each document's ids end with end_id. Equal doc_ids go by text; null doc_ids are left out, as the order is by id."""
+    file number, documents, ids. Each document's ids end with end_id. Null doc_ids come first; equal doc_ids go by a hash of the text, then by text, and may
+    be spread over files. A folder without a file system's name is one of the cluster's default file system."""
     spark = docs.sparkSession
     total = docs.agg(F.sum(F.octet_length(F.col(text)))).first()[0] or 0
     files = files or max(int(spark.conf.get("spark.sql.shuffle.partitions")), total // (64 << 20))
-    rows = docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.coalesce(F.col(text), F.lit("")).alias("text")).filter("doc_id is not null")
-    dealt = rows.repartitionByRange(files, "doc_id").sortWithinPartitions("doc_id", "text")
+    folder = qualified(spark, folder)
+    rows = docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.coalesce(F.col(text), F.lit("")).alias("text")).withColumn("hash", F.xxhash64("text"))
+    order = [F.col("doc_id").asc_nulls_first(), "hash"]
+    dealt = rows.repartitionByRange(files, *order).sortWithinPartitions(*order, "text").select("doc_id", "text")
 
     def write(batches):
         enc, part, writer, out = encoder(tokenizer), TaskContext.get().partitionId(), None, None
@@ -210,7 +221,7 @@ def write_tokens(docs: DataFrame, tokenizer: str, folder: str, end_id: int = 0,
                     store.create_dir(base, recursive=True)
                     out = store.open_output_stream(temp)
                     writer = Writer(out, max(enc.vocabulary, end_id + 1))
-                writer.add(piece["doc_id"].to_numpy(), np.array([len(x) // 4 for x in raw], np.uint64), np.frombuffer(b"".join(raw), "<u4"))
+                writer.add(piece["doc_id"].fill_null(0).to_numpy(), np.array([len(x) // 4 for x in raw], np.uint64), np.frombuffer(b"".join(raw), "<u4"), piece["doc_id"].null_count)
         if writer is not None:
             n_docs, n_ids = writer.close()
             out.close()
@@ -237,7 +248,7 @@ def read_tokens(spark: SparkSession, folder: str, counts: dict[int, int]) -> Dat
                     ids = file.span(int(at[0]), int(at[-1])).astype("<u4")
                     at0 = at - at[0]
                     yield pa.RecordBatch.from_pydict({
-                        "doc_id": pa.array(file.doc_ids[a:b], pa.int64()), "start": pa.array(base + at[:-1], pa.int64()), "n_tokens": pa.array(np.diff(at), pa.int64()),
+                        "doc_id": pa.array(file.doc_ids[a:b], pa.int64(), mask=np.arange(a, b) < file.nulls), "start": pa.array(base + at[:-1], pa.int64()), "n_tokens": pa.array(np.diff(at), pa.int64()),
                         "ids_crc32": pa.array([zlib.crc32(ids[x:y]) for x, y in zip(at0, at0[1:], strict=False)], pa.int64()),
                     })
 
@@ -246,7 +257,7 @@ def read_tokens(spark: SparkSession, folder: str, counts: dict[int, int]) -> Dat
 
 
 def token_digest(docs: DataFrame, tokenizer: str, end_id: int = 0) -> DataFrame:
-    """Write all documents to token files in the shared folder and read them back: doc_id, start, n_tokens, ids_crc32. An empty table gives no rows."""
+    """Write all documents to token files in the shared folder and read them back: doc_id, start, n_tokens, ids_crc32. Null texts are empty; an empty table gives no rows."""
     spark = docs.sparkSession
     folder = fresh_dir(spark, "tokens")
     counts = {r["file"]: r["n_ids"] for r in write_tokens(docs, tokenizer, folder, end_id).collect()}  # one row a file
