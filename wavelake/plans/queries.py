@@ -11,32 +11,22 @@ from ..functions import scalars
 from ..operators import autoregressive as ar
 from ..operators import connectivity as cn
 from ..operators import covariance as cv
-from ..operators import lags, response, simulate, solvers, spectral, windows, words
+from ..operators import lags, response, solvers, spectral, windows, words
 from ..operators.gram import gram_table
 from ..sources import text_tables
+from . import simulated  # noqa: F401 (registers its queries)
+from .registry import QUERIES, SQL, query
 from .tables import EV, KEY, ORDER, emb_sql, embeddings, events, head, head_sql, lagged_sql, lines, load, rounded, rsql, solve_sql, sums_sql
 
-_QUERIES: dict = {}
-_SQL: dict[str, str] = {}
 PI = repr(math.pi)
 
 
-def query(sql: str | None = None):
-    def keep(f):
-        _QUERIES[f.__name__] = f
-        if sql:
-            _SQL[f.__name__] = sql
-        return f
-
-    return keep
-
-
 def queries() -> dict:
-    return dict(_QUERIES)
+    return dict(QUERIES)
 
 
 def oracle_sql() -> dict[str, str]:
-    return dict(_SQL)
+    return dict(SQL)
 
 
 # ---- lags
@@ -968,47 +958,3 @@ def word_vector_lookup(spark, sf):
 def summary_stats(spark, sf):
     v = F.col("value")
     return load(spark, sf, "events").groupBy("event_type").agg(F.count("*").alias("n"), rounded(F.avg(v)).alias("mean"), rounded(F.stddev_samp(v)).alias("sd"), F.min(v).alias("low"), rounded(F.percentile(v, 0.5)).alias("middle"), F.max(v).alias("top"))
-
-
-# ---- simulators
-
-SEEDS = [42, 43, 44, 45]
-
-
-def _rounded_arrays(df, *names):
-    return df.select("seed", "t", *[F.transform(n, lambda v: F.round(v, 6)).alias(n) if n in ("x", "state") else rounded(n).alias(n) for n in names])
-
-
-@query()
-def simulate_ar(spark, sf):
-    return simulate.simulate_ar(spark, [1.2, -0.8], 500, seeds=SEEDS).withColumn("x", rounded("x"))
-
-
-@query()
-def simulate_var(spark, sf):
-    return _rounded_arrays(simulate.simulate_var(spark, [[[0.8, -0.2], [0.5, -0.4]]], 500, SEEDS), "x")
-
-
-@query()
-def simulate_var_from_cov(spark, sf):
-    return _rounded_arrays(simulate.simulate_var_from_cov(spark, [[0.5, 0.1], [0.1, 0.4]], 500, SEEDS), "x")
-
-
-@query()
-def ctrnn(spark, sf):
-    return _rounded_arrays(simulate.simulate_ctrnn(spark, [[0.5, -1.0], [1.0, 0.5]], [1.0, 0.0], [1.0, -1.0], [0.0, 0.1], 400, drive=lambda t: math.sin(t), seeds=SEEDS), "state", "out")
-
-
-@query()
-def jansen_rit(spark, sf):
-    return _rounded_arrays(simulate.simulate_jansen_rit(spark, 500, seeds=SEEDS), "state", "out")
-
-
-@query()
-def jansen_rit_ext(spark, sf):
-    return _rounded_arrays(simulate.simulate_jansen_rit_extended(spark, 500, seeds=SEEDS), "state", "out")
-
-
-@query()
-def jr_network(spark, sf):
-    return simulate.simulate_network(spark, [[0.0, 0.4], [0.0, 0.0]], 500, seeds=SEEDS).select("seed", "t", F.transform("out", lambda v: F.round(v, 6)).alias("out"))
