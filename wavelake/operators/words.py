@@ -68,3 +68,21 @@ def word_vectors(words: DataFrame, vectors: DataFrame, word: str = "word", unkno
         norm = F.sqrt(F.aggregate(g, F.lit(0.0), lambda a, x: a + x * x))
         other = F.transform(g, lambda x: x / norm)
     return joined.withColumn("vec", F.coalesce(F.col("vec").cast("array<double>"), other))
+
+
+def story_features(onsets: DataFrame, tables: dict[str, DataFrame], srate: float, durations: DataFrame, key: list[str], vectors: DataFrame | None = None, dims: int = 0) -> DataFrame:
+    """All word-level features of stories on their sample grid: onsets (key, word_pos, word, onset), tables by feature (key, word_pos, feature), and the
+    words' vectors as vec_0.. ; words that a table lacks count 0 there."""
+    words = onsets
+    for name, table in tables.items():
+        words = words.join(table.select(*key, "word_pos", F.col(name).cast("double").alias(name)), [*key, "word_pos"], "left")
+    names = list(tables)
+    if vectors is not None:
+        words = word_vectors(words, vectors, dims=dims).select("*", *[F.col("vec")[i].alias(f"vec_{i}") for i in range(dims)])
+        names += [f"vec_{i}" for i in range(dims)]
+    return word_grid(words, names, srate, durations, key)
+
+
+def aligned_speech(segments: DataFrame, durations: DataFrame, srate: float, key: list[str]) -> DataFrame:
+    """Segments (key, onset) with the duration of their audio, first sample and number of samples."""
+    return segment_samples(segments.join(durations, key), srate)

@@ -14,7 +14,6 @@ from ..operators import covariance as cv
 from ..operators import lags, response, solvers, spectral, windows, words
 from ..operators.gram import gram_table
 from ..sources import text_tables
-from . import simulated  # noqa: F401 (registers its queries)
 from .registry import QUERIES, SQL, query
 from .tables import EV, KEY, ORDER, emb_sql, embeddings, events, head, head_sql, lagged_sql, lines, load, rounded, rsql, solve_sql, sums_sql
 
@@ -958,3 +957,6 @@ def word_vector_lookup(spark, sf):
 def summary_stats(spark, sf):
     v = F.col("value")
     return load(spark, sf, "events").groupBy("event_type").agg(F.count("*").alias("n"), rounded(F.avg(v)).alias("mean"), rounded(F.stddev_samp(v)).alias("sd"), F.min(v).alias("low"), rounded(F.percentile(v, 0.5)).alias("middle"), F.max(v).alias("top"))
+
+
+from . import files, simulated  # noqa: E402, F401 (they register their queries, some with the SQL of those above)

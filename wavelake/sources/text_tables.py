@@ -12,6 +12,11 @@ def whole_lines(spark: SparkSession, path: str) -> DataFrame:
     return numbered(files, "v", ["path"])
 
 
+def transcripts(spark: SparkSession, path: str) -> DataFrame:
+    """(path, text): every file's whole text."""
+    return spark.read.text(path, wholetext=True).select(F.input_file_name().alias("path"), F.col("value").alias("text"))
+
+
 def numbered(df: DataFrame, text: str, keep: list[str]) -> DataFrame:
     lines = df.select(*keep, F.posexplode(F.split(text, "\n")).alias("p", "line"))
     return lines.select(*keep, (F.col("p") + 1).cast("int").alias("line_no"), "line")
@@ -73,3 +78,13 @@ def vectors(lines: DataFrame, most: int = 30_000) -> DataFrame:
     f = F.split(F.trim("line"), " ")
     rows = lines.filter((F.col("line_no") > 1) & (F.col("line_no") <= most + 1) & (F.trim("line") != ""))
     return rows.select(f[0].alias("word"), F.transform(F.slice(f, 2, 1 << 20), lambda x: x.cast("float")).alias("vec"))
+
+
+def by_position(table: DataFrame, place: int | str) -> Column:
+    """A column by its name or its position."""
+    return F.col(place) if isinstance(place, str) else F.col(table.columns[place])
+
+
+def from_code_points(points: Column) -> Column:
+    """The string of an array of code points."""
+    return F.array_join(F.transform(points, lambda p: F.char(p)), "")
