@@ -10,6 +10,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import numeric as nm
+from .spectral import hilbert
 
 
 def binned(phase: Column, width: Column | float, bins: Column | int) -> Column:
@@ -30,19 +31,40 @@ def entropy(df: DataFrame, bins: list[str], by: list[str]) -> DataFrame:
     return joined.groupBy(*by).agg((-F.sum(p * F.log2(p))).alias("entropy"))
 
 
-def scott_width(spread: float, n: int) -> float:
-    return 3.49 * spread * n ** (-1 / 3)
+def scott_width(spread: Column, n: Column) -> Column:
+    return F.lit(3.49) * spread * F.pow(n, F.lit(-1.0 / 3))
 
 
 def pte_delay(df: DataFrame, channels: list[str], key: list[str], t: str = "t") -> DataFrame:
-    """round(n * channels / sign changes): a change is phase[t - 1] * phase[t + 1] < 0, phases centred on 0."""
+    """round((n - 2) * channels / sign changes): a change is phase[t - 1] * phase[t + 1] < 0 at an inner sample, phases centred on 0."""
     over = Window.partitionBy(*key).orderBy(t)
     flips = None
     for c in channels:
-        flip = (F.lag(c).over(over) * F.lead(c).over(over) < 0).cast("long")
-        flips = flip if flips is None else F.coalesce(flips, F.lit(0)) + F.coalesce(flip, F.lit(0))
-    data = df.select(*key, F.coalesce(flips, F.lit(0)).alias("__flips"))
-    return data.groupBy(*key).agg(F.rint(F.count("*") * len(channels) / F.nullif(F.sum("__flips"), F.lit(0))).cast("long").alias("delay"))
+        flip = F.coalesce((F.lag(c).over(over) * F.lead(c).over(over) < 0).cast("long"), F.lit(0).cast("long"))
+        flips = flip if flips is None else flips + flip
+    data = df.select(*key, flips.alias("__flips"))
+    return data.groupBy(*key).agg(F.rint((F.count("*") - 2) * len(channels) / F.nullif(F.sum("__flips"), F.lit(0))).cast("long").alias("delay"))
+
+
+def _entropies(rows: DataFrame, key: list[str]) -> DataFrame:
+    """(key, src, dst, pte, dpte) of rows (key, bins, src, dst, x, y, z = y later). All four histograms come from the joint one, side by side; the sample
+    count's logarithms cancel."""
+    by = [*key, "src", "dst"]
+    joint = rows.groupBy(*by, "bins", "x", "y", "z").agg(F.count("*").alias("n"))
+    none = F.lit(-1)
+    kinds = F.array(*[F.struct(F.lit(s).alias("sign"), a.alias("a"), b.alias("b"), c.alias("c")) for s, a, b, c in ((1, F.col("y"), none, none), (-1, F.col("y"), F.col("x"), none), (-2, F.col("y"), none, F.col("z")), (2, F.col("y"), F.col("x"), F.col("z")))])
+    cells = joint.select(*by, "bins", "n", F.explode(kinds).alias("k")).groupBy(*by, "bins", "k").agg(F.sum("n").alias("n"))
+    sign = F.signum("k.sign")
+    sums = cells.groupBy(*by, "bins").agg(F.sum(sign * F.col("n") * F.log2("n")).alias("s"), F.sum(F.when(F.col("k.sign") == 1, F.col("n"))).alias("all"))
+    pte = sums.select(*by, (-F.col("s") / F.col("all") / F.log2("bins")).alias("pte"))
+    both = F.sum("pte").over(Window.partitionBy(*key, F.least("src", "dst"), F.greatest("src", "dst")))
+    return pte.select(*by, "pte", (F.col("pte") / F.nullif(both, F.lit(0.0))).alias("dpte"))
+
+
+def _directed(data: DataFrame, channels: list[str], key: list[str]) -> DataFrame:
+    """Both directions of each pair from columns b0.. (now) and f0.. (later)."""
+    pairs = F.array(*[F.struct(F.lit(a).alias("src"), F.lit(b).alias("dst"), F.col(f"b{i}").alias("x"), F.col(f"b{j}").alias("y"), F.col(f"f{j}").alias("z")) for i, a in enumerate(channels) for j, b in enumerate(channels) if i != j])
+    return data.select(*key, "bins", F.explode(pairs).alias("p")).select(*key, "bins", "p.*")
 
 
 def phase_transfer_entropy(df: DataFrame, channels: list[str], delay: int, key: list[str], width: float, t: str = "t") -> DataFrame:
@@ -51,24 +73,28 @@ def phase_transfer_entropy(df: DataFrame, channels: list[str], delay: int, key:
     bins = math.ceil(2 * math.pi / width)
     over = Window.partitionBy(*key).orderBy(t)
     cols = [binned(F.col(c), width, bins).alias(f"b{i}") for i, c in enumerate(channels)]
-    data = df.select(*key, t, *cols)
+    data = df.select(*key, t, F.lit(bins).alias("bins"), *cols)
     data = data.select("*", *[F.lead(f"b{i}", delay).over(over).alias(f"f{i}") for i in range(len(channels))]).filter(F.col("f0").isNotNull())
-    pairs = F.array(*[F.struct(F.lit(a).alias("src"), F.lit(b).alias("dst"), F.col(f"b{i}").alias("x"), F.col(f"b{j}").alias("y"), F.col(f"f{j}").alias("z")) for i, a in enumerate(channels) for j, b in enumerate(channels) if i != j])
-    rows = data.select(*key, F.explode(pairs).alias("p")).select(*key, "p.*")
-    by = [*key, "src", "dst"]
-    joint = rows.groupBy(*by, "x", "y", "z").agg(F.count("*").alias("n"))  # all smaller histograms are sums of this one
-    n = F.col("n")
-    plogp = lambda c: c * F.log2(c)
-    parts = []
-    for names, sign in ((["y"], 1), (["y", "x"], -1), (["z", "y"], -1), (["z", "y", "x"], 1)):
-        part = joint.groupBy(*by, *names).agg(F.sum(n).alias("n")).groupBy(*by).agg(F.sum(plogp(n)).alias("s"), F.sum(n).alias("all"))
-        parts.append(part.select(*by, (sign * (F.log2("all") - F.col("s") / F.col("all"))).alias("h")))
-    total = parts[0]
-    for p in parts[1:]:
-        total = total.unionByName(p)
-    pte = total.groupBy(*by).agg((F.sum("h") / math.log2(bins)).alias("pte"))
-    back = pte.select(*key, F.col("src").alias("dst"), F.col("dst").alias("src"), F.col("pte").alias("__back"))
-    return pte.join(back, by).select(*by, "pte", (F.col("pte") / F.nullif(F.col("pte") + F.col("__back"), F.lit(0.0))).alias("dpte"))
+    return _entropies(_directed(data, channels, key), key)
+
+
+def transfer_entropy(df: DataFrame, channels: list[str], key: list[str], t: str = "t", delay: int | None = None) -> DataFrame:
+    """(key, src, dst, pte, dpte) from signals: phases of the analytic signals, a delay for each recording from its sign changes (or the given one), bins of
+    Scott's width from the mean deviation of the phases. t counts a recording's samples."""
+    phases = None
+    for c in channels:
+        one = hilbert(df.select(*key, t, c), c, key, t).select(*key, t, F.atan2("im", "re").alias(c))
+        phases = one if phases is None else phases.join(one, [*key, t])
+    spread = F.stddev_pop(F.col(channels[0]))
+    for c in channels[1:]:
+        spread = spread + F.stddev_pop(F.col(c))
+    sizes = phases.groupBy(*key).agg(scott_width(spread / len(channels), F.count("*")).alias("width"))
+    sizes = sizes.withColumn("bins", F.ceil(F.lit(2 * math.pi) / F.col("width")).cast("int"))
+    given = pte_delay(phases, channels, key, t) if delay is None else sizes.select(*key, F.lit(delay).cast("long").alias("delay"))
+    data = phases.join(sizes.join(given, key), key)
+    data = data.select(*key, t, "delay", "bins", *[binned(F.col(c) + math.pi, F.col("width"), F.col("bins")).alias(f"b{i}") for i, c in enumerate(channels)])
+    later = data.select(*key, (F.col(t) - F.col("delay")).alias(t), *[F.col(f"b{i}").alias(f"f{i}") for i in range(len(channels))])
+    return _entropies(_directed(data.join(later, [*key, t]), channels, key), key)
 
 
 def wpli(spectra: DataFrame, low: float, high: float) -> DataFrame:

@@ -2,12 +2,15 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable, Sequence
+
 import numpy as np
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..functions.numeric import generalised_eigh, signed
+from ..functions.numeric import generalised_eigh, positive_definite, signed
 from .gram import gram_matrix
+from .lags import lag_features, lag_name
 
 
 def unpacked(df: DataFrame, vector: str, dims: int, prefix: str = "c") -> DataFrame:
@@ -15,10 +18,12 @@ def unpacked(df: DataFrame, vector: str, dims: int, prefix: str = "c") -> DataFr
     return df.select("*", *[F.col(vector)[i].cast("double").alias(f"{prefix}{i}") for i in range(dims)])
 
 
-def covariance(df: DataFrame, columns: list[str], by: list[str] | None = None, estimator: str = "cov") -> DataFrame:
+def covariance(df: DataFrame, columns: list[str], by: list[str] | None = None, estimator: str | Callable[[np.ndarray], np.ndarray] = "cov") -> DataFrame:
     """Long table (by, i, j, v), i <= j. cov: sample covariance; scm: mean products without centring; pop: population; corr: correlation;
-    lwf, oas: shrunk to the mean variance by closed forms; one aggregation each. mcd: fast minimum covariance determinant, on pandas groups."""
+    lwf, oas: shrunk to the mean variance by closed forms; one aggregation each. mcd: fast minimum covariance determinant (exact for one column), on pandas groups; so is a function of a group's rows x columns."""
     by = by or []
+    if callable(estimator):
+        return _by_group(df, columns, by, estimator)
     if estimator in ("lwf", "oas"):
         return _shrunk(df, columns, by, estimator)
     if estimator == "mcd":
@@ -63,15 +68,30 @@ def _shrunk(df: DataFrame, columns: list[str], by: list[str], estimator: str) ->
     return s.select(*by, F.explode(F.array(*[item(i, j) for i, j in pairs])).alias("__p")).select(*by, "__p.i", "__p.j", "__p.v").drop("__all")
 
 
-def _mcd(df: DataFrame, columns: list[str], by: list[str], seed: int = 0) -> DataFrame:
-    kinds = dict(df.dtypes)
+def _by_group(df: DataFrame, columns: list[str], by: list[str], matrix: Callable[[np.ndarray], np.ndarray]) -> DataFrame:
+    """The long table of a p x p matrix of each group's rows; a group is one task."""
+    kinds, p = dict(df.dtypes), len(columns)
     if not by:
         df, by, kinds = df.withColumn("__all", F.lit(0)), ["__all"], {"__all": "int"}
 
-    def robust(pdf):
-        x = pdf[columns].to_numpy(float)
-        n, p = x.shape
+    def run(pdf):
+        c = np.asarray(matrix(pdf[columns].to_numpy(float)), float)
+        rows = [(*[pdf[b].iloc[0] for b in by], columns[i], columns[j], c[i, j]) for i in range(p) for j in range(i, p)]
+        return type(pdf)(rows, columns=[*by, "i", "j", "v"])
+
+    out = df.select(*by, *columns).groupBy(*by).applyInPandas(run, ", ".join([*[f"{b} {kinds[b]}" for b in by], "i string", "j string", "v double"]))
+    return out.drop("__all")
+
+
+def _mcd(df: DataFrame, columns: list[str], by: list[str], seed: int = 0) -> DataFrame:
+    p = len(columns)
+
+    def robust(x: np.ndarray) -> np.ndarray:
+        n = len(x)
         h = (n + p + 1) // 2
+        if p == 1:  # the best half is a run of the sorted values
+            v = np.sort(x[:, 0])
+            return min((v[a : a + h].var() for a in range(n - h + 1)), default=np.nan) * np.ones((1, 1))
         rng, best = np.random.default_rng(seed), (np.inf, None)
         for _ in range(30):
             pick = rng.choice(n, min(n, p + 1), replace=False)
@@ -85,12 +105,24 @@ def _mcd(df: DataFrame, columns: list[str], by: list[str], seed: int = 0) -> Dat
             det = np.linalg.slogdet(np.cov(x[pick], rowvar=False).reshape(p, p))[1]
             if det < best[0]:
                 best = (det, pick)
-        c = np.cov(x[best[1]], rowvar=False, ddof=0).reshape(p, p)
-        rows = [(*[pdf[b].iloc[0] for b in by], columns[i], columns[j], c[i, j]) for i in range(p) for j in range(i, p)]
-        return type(pdf)(rows, columns=[*by, "i", "j", "v"])
+        return np.cov(x[best[1]], rowvar=False, ddof=0).reshape(p, p)
 
-    out = df.groupBy(*by).applyInPandas(robust, ", ".join([*[f"{b} {kinds[b]}" for b in by], "i string", "j string", "v double"]))
-    return out.drop("__all")
+    return _by_group(df, columns, by, robust)
+
+
+def definite(table: DataFrame, by: list[str], shift: float = 0.0) -> DataFrame:
+    """(by, definite): whether the matrix of a long table (by, i, j, v), less shift on the diagonal, is positive definite."""
+    kinds = dict(table.dtypes)
+
+    def run(pdf):
+        names = sorted({*pdf["i"], *pdf["j"]})
+        at = {c: k for k, c in enumerate(names)}
+        m = np.zeros((len(names),) * 2)
+        for i, j, v in zip(pdf["i"], pdf["j"], pdf["v"], strict=True):
+            m[at[i], at[j]] = m[at[j], at[i]] = v
+        return type(pdf)([(*[pdf[b].iloc[0] for b in by], positive_definite(m - shift * np.eye(len(names))))], columns=[*by, "definite"])
+
+    return table.groupBy(*by).applyInPandas(run, ", ".join([*[f"{b} {kinds[b]}" for b in by], "definite boolean"]))
 
 
 def moments(df: DataFrame, columns: list[str]) -> tuple[float, np.ndarray, np.ndarray]:
@@ -243,3 +275,78 @@ def multiway(df: DataFrame, groups: list[list[str]], keep: int) -> tuple[list[np
         out.append(first[at : at + len(g), col : col + k] @ vector[col : col + k])
         at, col = at + len(g), col + k
     return out, value
+
+
+def denoiser(transform: np.ndarray, keep: int) -> np.ndarray:
+    """Matrix that takes a dataset to its first keep components and back."""
+    return transform[:, :keep] @ np.linalg.pinv(transform)[:keep]
+
+
+def pca(df: DataFrame, columns: list[str]) -> tuple[np.ndarray, np.ndarray]:
+    """Directions (columns) and variances, descending."""
+    n, _, s = moments(df, columns)
+    value, vector = np.linalg.eigh(s / (n - 1))
+    return signed(vector[:, ::-1]), value[::-1]
+
+
+def component_correlations(df: DataFrame, channels: list[str], components: list[str]) -> DataFrame:
+    """(channel, component, r): correlation of every channel with every component, in one aggregation."""
+    items = F.array(*[F.struct(F.lit(a).alias("channel"), F.lit(b).alias("component"), F.corr(a, b).alias("r")) for a in channels for b in components])
+    return df.agg(items.alias("r")).select(F.explode("r").alias("r")).select("r.*")
+
+
+def nipals(g: np.ndarray, p: int, count: int, rounds: int = 5_000, tolerance: float = 1e-12) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Canonical correlation one pair at a time from a joint matrix of products: alternating least squares between both sides' scores; what is found is kept
+    orthogonal to the pairs before."""
+    xx, yy, xy = g[:p, :p], g[p:, p:], g[:p, p:]
+    wx, wy, r = np.zeros((p, 0)), np.zeros((len(g) - p, 0)), []
+    inverse_x, inverse_y = np.linalg.pinv(xx), np.linalg.pinv(yy)
+
+    def apart(w: np.ndarray, before: np.ndarray, m: np.ndarray) -> np.ndarray:
+        w = w - before @ (before.T @ m @ w)
+        size = np.sqrt(max(float(w @ m @ w), 0.0))
+        return w / size if size > 0 else w
+
+    for k in range(count):
+        b = apart(np.ones(len(yy)) + np.arange(len(yy)) * 1e-3 * (k + 1), wy, yy)
+        a = np.zeros(p)
+        for _ in range(rounds):
+            new = apart(inverse_x @ (xy @ b), wx, xx)
+            b = apart(inverse_y @ (xy.T @ new), wy, yy)
+            if np.abs(new - a).max(initial=0.0) < tolerance:
+                break
+            a = new
+        wx, wy = np.column_stack([wx, new]), np.column_stack([wy, b])
+        r.append(float(new @ xy @ b))
+    return signed(wx), wy * np.where(signed(wx)[0] == wx[0], 1, -1), np.array(r)
+
+
+class CanonicalModel:
+    """Canonical correlation between lagged features and (lagged) channels: svd, nt or nipals, all from one joint Gram matrix of the lagged design. Columns are
+    centred, so the intercept is 0 in the components. count: how many pairs."""
+
+    def __init__(self, x_lags: Sequence[int] = (0,), y_lags: Sequence[int] = (0,), method: str = "svd", count: int | None = None, **options):
+        self.x_lags, self.y_lags, self.method, self.count, self.options = list(x_lags), list(y_lags), method, count, options
+
+    def design(self, df: DataFrame, key: list[str], order: list[str]) -> DataFrame:
+        for columns, lags in ((self.xs, self.x_lags), (self.ys, self.y_lags)):
+            df = lag_features(df, columns, lags, key, order)
+        return df.na.drop(subset=[*self.x_names, *self.y_names])
+
+    def fit(self, df: DataFrame, xs: list[str], ys: list[str], key: list[str], order: list[str]) -> CanonicalModel:
+        self.xs, self.ys = xs, ys
+        self.x_names, self.y_names = ([lag_name(c, k) for k in lags for c in columns] for columns, lags in ((xs, self.x_lags), (ys, self.y_lags)))
+        data = self.design(df, key, order)
+        _, self.mean, g = moments(data, [*self.x_names, *self.y_names])
+        most = min(len(self.x_names), len(self.y_names), self.count or len(g))
+        if self.method == "nipals":
+            self.wx, self.wy, self.r = nipals(g, len(self.x_names), most)
+        else:
+            self.wx, self.wy, self.r = (v[..., :most] for v in canonical(data, self.x_names, self.y_names, self.method, **self.options))
+        return self
+
+    def transform(self, df: DataFrame, key: list[str], order: list[str]) -> DataFrame:
+        """df's rows that have all lags, with components u0.. of the features and v0.. of the channels."""
+        p = len(self.x_names)
+        out = project(self.design(df, key, order), self.x_names, self.wx, [f"u{i}" for i in range(self.wx.shape[1])], self.mean[:p])
+        return project(out, self.y_names, self.wy, [f"v{i}" for i in range(self.wy.shape[1])], self.mean[p:])

@@ -6,6 +6,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.pandas.types import to_arrow_type
 
 #: A matrix comes to the driver only up to this many columns.
 MOST = 5_000
@@ -53,6 +54,33 @@ def gram_matrix(df: DataFrame, columns: list[str]) -> np.ndarray:
     return out
 
 
+def gram_groups(df: DataFrame, columns: list[str], by: list[str]) -> DataFrame:
+    """(by, gram as one array of p * p): partial matrices by partition and group, added on the executors, however many columns there are."""
+    p, kinds = len(columns), dict(df.dtypes)
+    schema = ", ".join([*[f"{b} {kinds[b]}" for b in by], "gram array<double>"])
+    data = df.select(*by, F.array(*[F.col(c).cast("double") for c in columns]).alias("__x"))
+    kind = {c: to_arrow_type(data.schema[c].dataType) for c in by}
+
+    def partial(batches):
+        total: dict[tuple, np.ndarray] = {}
+        for b in batches:
+            x = b["__x"].values.to_numpy(zero_copy_only=False)[b["__x"].offset * p :].reshape(-1, p)[: b.num_rows]
+            keys = list(zip(*[b[c].to_pylist() for c in by], strict=True))
+            names = {k: i for i, k in enumerate(dict.fromkeys(keys))}
+            code = np.array([names[k] for k in keys], np.int64)
+            for k, i in names.items():
+                mine = x[code == i]
+                total[k] = total.get(k, 0) + mine.T @ mine
+        if total:
+            cols = {c: [k[j] for k in total] for j, c in enumerate(by)}
+            yield pa.RecordBatch.from_pydict({**{c: pa.array(v, kind[c]) for c, v in cols.items()}, "gram": pa.array([g.ravel() for g in total.values()], pa.list_(pa.float64()))})
+
+    def add(table):
+        return table.slice(0, 1).select(by).append_column("gram", pa.array([np.sum(table["gram"].to_pylist(), axis=0)], pa.list_(pa.float64())))
+
+    return data.mapInArrow(partial, schema).groupBy(*by).applyInArrow(add, schema)
+
+
 def ridge(g: np.ndarray, xs: list[int], ys: list[int], alphas: list[float]) -> np.ndarray:
     """(alphas, len(xs), len(ys)) coefficients of (X'X + alpha I)^-1 X'Y from one factorisation; alpha 0 is least squares (smallest norm if singular)."""
     if min(alphas) < 0:

@@ -2,14 +2,15 @@
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Callable, Sequence
 
 import numpy as np
-from pyspark.sql import Column, DataFrame, Window
+import pandas as pd
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..functions.numeric import t_two_sided
-from .gram import gram_matrix, ridge
+from .gram import gram_groups, gram_matrix, ridge
 from .lags import lag_features, lag_name
 
 SCHEMA = "alpha double, lag int, feature string, channel string, coef double"
@@ -76,55 +77,95 @@ class ResponseModel:
             out = out.withColumn(f"{c}_hat", total)
         return out.select(*df.columns, *[f"{c}_hat" for c in sorted({r["channel"] for r in rows})])
 
-    def cross_validate(self, df: DataFrame, features: list[str], targets: list[str], key: list[str], order: list[str], folds: int = 5) -> DataFrame:
-        """(alpha, channel, fold, score): correlation on each held-out fold. Folds are contiguous blocks of the rows in (key, order), the first n mod folds
-        one row longer. A fold's Gram is taken from the total, so the data are read once for all fits and once for all scores."""
+    def cross_validate(self, df: DataFrame, features: list[str], targets: list[str], key: list[str], order: list[str], folds: int = 5, by: list[str] | None = None) -> DataFrame:
+        """(by, alpha, channel, fold, score): correlation on each held-out fold, for all rows or for each subject (by, some of key). Folds are contiguous
+        blocks of a subject's rows in (key, order), the first n mod folds one row longer.
+
+        The data are read once: a fold's Gram matrix, with a column of ones, has all that fits on the other folds and the correlation on its own need. Sums
+        of squares lose digits where means are many times the deviations; centre such signals first.
+        """
+        by = by or []
         names = self._names(features)
         columns = [n for _, _, n in names] + targets
-        data = self.design(df, features, key, order).na.drop(subset=targets)
-        data = fold_blocks(data, key, order, folds)
-        p = len(names)
-        pairs = [(i, j) for i in range(len(columns)) for j in range(i, len(columns))]
-        rows = data.groupBy("fold").agg(*[F.sum(F.col(columns[i]) * F.col(columns[j])).alias(f"g{i}_{j}") for i, j in pairs]).collect()
-        grams = {}
-        for r in rows:
-            g = np.zeros((len(columns),) * 2)
-            for i, j in pairs:
-                g[i, j] = g[j, i] = r[f"g{i}_{j}"]
-            grams[r["fold"]] = g
-        total = sum(grams.values())
-        fits = {f: ridge(total - g, list(range(p)), list(range(p, len(columns))), self.alphas) for f, g in grams.items()}
-        scores = []
-        for i, a in enumerate(self.alphas):
-            for m, c in enumerate(targets):
-                hat = F.lit(None).cast("double")
-                for f, beta in fits.items():
-                    value = sum((F.lit(float(b)) * F.col(n) for b, (_, _, n) in zip(beta[i, :, m], names, strict=True)), F.lit(0.0))
-                    hat = F.when(F.col("fold") == f, value).otherwise(hat)
-                scores.append((a, c, F.corr(hat, c)))
-        wide = data.groupBy("fold").agg(*[s.alias(f"s{k}") for k, (_, _, s) in enumerate(scores)])
-        items = F.array(*[F.struct(F.lit(a).alias("alpha"), F.lit(c).alias("channel"), F.col(f"s{k}").alias("score")) for k, (a, c, _) in enumerate(scores)])
-        return wide.select("fold", F.explode(items).alias("s")).select("s.alpha", "s.channel", "fold", "s.score")
-
-
-def fold_blocks(df: DataFrame, key: list[str], order: list[str], folds: int) -> DataFrame:
-    """Contiguous folds over all rows. Row numbers are counts of the recordings before plus the place inside, so no window holds all rows."""
-    sizes = df.groupBy(*key).agg(F.count("*").alias("__rows"))
+        data = self.design(df, features, key, order).na.drop(subset=targets).withColumn("__ones", F.lit(1.0))
+        grams = gram_groups(fold_blocks(data, key, order, folds, by).withColumn("__all", F.lit(0)), [*columns, "__ones"], ["__all", *by, "fold"])
+        p, alphas, kinds = len(names), self.alphas, dict(df.dtypes)
+
+        def scores(pdf: pd.DataFrame) -> pd.DataFrame:
+            pdf = pdf.sort_values("fold")
+            grams = [np.array(g, float).reshape(len(columns) + 1, -1) for g in pdf["gram"]]
+            total, rows = sum(grams), []
+            for f, g in zip(pdf["fold"], grams, strict=True):
+                beta = ridge(total - g, list(range(p)), list(range(p, len(columns))), alphas)
+                n, one = g[-1, -1], g[-1]
+                for i, a in enumerate(alphas):
+                    for m, c in enumerate(targets):
+                        b, y = beta[i, :, m], p + m
+                        vx, vy = n * (b @ g[:p, :p] @ b) - (b @ one[:p]) ** 2, n * g[y, y] - one[y] ** 2
+                        both = n * (b @ g[:p, y]) - (b @ one[:p]) * one[y]
+                        rows.append((*[pdf[k].iloc[0] for k in by], a, c, int(f), both / np.sqrt(vx * vy) if vx > 0 and vy > 0 else None))
+            return pd.DataFrame(rows, columns=[*by, "alpha", "channel", "fold", "score"])
+
+        schema = ", ".join([*[f"{k} {kinds[k]}" for k in by], "alpha double, channel string, fold int, score double"])
+        return grams.groupBy("__all", *by).applyInPandas(scores, schema)
+
+
+def fold_blocks(df: DataFrame, key: list[str], order: list[str], folds: int, by: list[str] | None = None) -> DataFrame:
+    """Contiguous folds over all rows, or over each subject's (by). Row numbers are counts of the recordings before plus the place inside, so no window
+    holds all rows."""
+    by = by or []
+    sizes = df.groupBy(*dict.fromkeys([*by, *key])).agg(F.count("*").alias("__rows"))
     # one row for each recording
-    sizes = sizes.withColumn("__before", F.coalesce(F.sum("__rows").over(Window.orderBy(*key).rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))).withColumn("__all", F.sum("__rows").over(Window.partitionBy()))
+    before = Window.partitionBy(*by).orderBy(*key).rowsBetween(Window.unboundedPreceding, -1)
+    sizes = sizes.withColumn("__before", F.coalesce(F.sum("__rows").over(before), F.lit(0))).withColumn("__total", F.sum("__rows").over(Window.partitionBy(*by)))
     inside = F.row_number().over(Window.partitionBy(*key).orderBy(*order)) - 1
-    df = df.withColumn("__inside", inside).join(sizes, key)
-    i, n = F.col("__before") + F.col("__inside"), F.col("__all")
+    df = df.withColumn("__inside", inside).join(sizes, list(dict.fromkeys([*by, *key])))
+    i, n = F.col("__before") + F.col("__inside"), F.col("__total")
     small, extra = F.floor(n / folds), n % folds
     long = (small + 1) * extra
     fold = F.when(i < long, F.floor(i / (small + 1))).otherwise(extra + F.floor((i - long) / F.greatest(small, F.lit(1)))).cast("int")
-    return df.withColumn("fold", fold).drop("__inside", "__rows", "__before", "__all")
+    return df.withColumn("fold", fold).drop("__inside", "__rows", "__before", "__total")
+
+
+def best_alpha(scores: DataFrame, by: list[str] | None = None) -> DataFrame:
+    """Mean score over folds, then channels, by alpha; the first of the highest, over all or for each subject."""
+    by = by or []
+    mean = scores.groupBy(*by, "alpha", "channel").agg(F.avg("score").alias("score")).groupBy(*by, "alpha").agg(F.avg("score").alias("score"))
+    if not by:
+        return mean.orderBy(F.desc("score"), "alpha").limit(1)
+    over = Window.partitionBy(*by).orderBy(F.desc("score"), "alpha")
+    return mean.withColumn("__r", F.row_number().over(over)).filter("__r = 1").drop("__r")
+
+
+def reduce_scores(scores: DataFrame, by: list[str], how: str | Callable[[Column], Column] = "avg") -> DataFrame:
+    """Scores put together by the name of an aggregate function, or by a function of the column."""
+    made = how(F.col("score")) if callable(how) else getattr(F, how)("score")
+    return scores.groupBy(*by).agg(made.alias("score"))
+
+
+def fill_lags(model: DataFrame, lags: Sequence[int]) -> DataFrame:
+    """A model with all of the lags: what it lacks counts 0."""
+    have = model.filter("lag is not null")
+    grid = have.select("alpha", "feature", "channel").distinct().withColumn("lag", F.explode(F.array(*[F.lit(int(k)) for k in lags])))
+    full = grid.join(have, ["alpha", "feature", "channel", "lag"], "left").select("alpha", "lag", "feature", "channel", F.coalesce("coef", F.lit(0.0)).alias("coef"))
+    return full.union(model.filter("lag is null").select("alpha", "lag", "feature", "channel", "coef"))
+
+
+def from_array(spark: SparkSession, coefs: np.ndarray, lags: Sequence[int], features: list[str], channels: list[str], alpha: float = 0.0) -> DataFrame:
+    """A model from an array (lags, features, channels)."""
+    a = np.asarray(coefs, float)
+    rows = [(float(alpha), int(k), f, c, float(a[i, j, m])) for i, k in enumerate(lags) for j, f in enumerate(features) for m, c in enumerate(channels)]
+    return spark.createDataFrame(rows, SCHEMA)
+
+
+@F.pandas_udf("double")
+def _p_value(t: pd.Series, dof: pd.Series) -> pd.Series:
+    return pd.Series([float(t_two_sided(float(a), float(b))) for a, b in zip(t, dof, strict=True)])
 
 
-def best_alpha(scores: DataFrame) -> DataFrame:
-    """Mean score over folds, then channels, by alpha; the first of the highest."""
-    mean = scores.groupBy("alpha", "channel").agg(F.avg("score").alias("score")).groupBy("alpha").agg(F.avg("score").alias("score"))
-    return mean.orderBy(F.desc("score"), "alpha").limit(1)
+def p_value(t: Column, dof: Column) -> Column:
+    """Two-sided p of Student's t."""
+    return _p_value(t, dof)
 
 
 def score(df: DataFrame, truth: str, guess: str, by: list[str], metric: str = "corr") -> DataFrame:

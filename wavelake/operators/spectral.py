@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import math
+from collections.abc import Callable
 
 import numpy as np
 import pandas as pd
@@ -56,23 +57,19 @@ def fir_grouped(df: DataFrame, column: str, taps: np.ndarray, key: list[str], t:
     return grouped(df, key, t, column, "filtered double", lambda x: {"filtered": nm.edge_filtered(x, taps)})
 
 
-def filterbank(df: DataFrame, column: str, bank: list[tuple[list[float], list[float]]], key: list[str], t: str = "t") -> DataFrame:
-    """Every band's recursive filter over every recording: (key, t, band, value)."""
-    bands = df.sparkSession.createDataFrame([(i, [float(x) for x in b], [float(x) for x in a]) for i, (b, a) in enumerate(bank)], "band int, b array<double>, a array<double>")
+def filterbank(df: DataFrame, column: str, bank: list[tuple[list[float], list[float]]], key: list[str], t: str = "t", apply: Callable[[np.ndarray, np.ndarray, np.ndarray], np.ndarray] = nm.recursive) -> DataFrame:
+    """Every band's filter over every recording: (key, t, band, value). apply: function of a band's b and a and the samples, by default the recursive filter."""
     kinds = dict(df.dtypes)
 
     def run(pdf: pd.DataFrame) -> pd.DataFrame:
         pdf = pdf.sort_values(t)
-        out = nm.recursive(np.array(pdf["b"].iloc[0], float), np.array(pdf["a"].iloc[0], float), pdf[column].to_numpy(float))
-        return pd.DataFrame({**{k: pdf[k] for k in key}, t: pdf[t], "band": pdf["band"], "value": out})
+        b, a = bank[int(pdf["band"].iloc[0])]
+        return pdf[[*key, t, "band"]].assign(value=apply(np.array(b, float), np.array(a, float), pdf[column].to_numpy(float)))
 
     schema = ", ".join([*[f"{k} {kinds[k]}" for k in key], f"{t} {kinds[t]}", "band int", "value double"])
-    # a filter bank is a design of the caller: some rows
-    return df.select(*key, t, column).crossJoin(F.broadcast(bands)).groupBy(*key, "band").applyInPandas(run, schema)
-
-
-def chebyshev_bank(edges: list[tuple[float, float]], srate: float, order: int = 4, ripple: float = 40.0) -> list[tuple[list[float], list[float]]]:
-    return [tuple(x.tolist() for x in nm.chebyshev2(order, ripple, e, srate)) for e in edges]
+    # a filter bank is a design of the caller: some bands, and a task for each recording and band
+    rows = df.select(*key, t, column, F.explode(F.array(*[F.lit(i) for i in range(len(bank))])).alias("band"))
+    return rows.groupBy(*key, "band").applyInPandas(run, schema)
 
 
 def envelope(df: DataFrame, column: str, srate: float, cutoff: float, key: list[str], t: str = "t", method: str = "rectify", power: float = 1 / 3, taps: int | None = None, resample: float | None = None) -> DataFrame:
@@ -119,25 +116,27 @@ def gammatone(df: DataFrame, column: str, srate: float, centre: float, key: list
 
 def rate_map(df: DataFrame, column: str, srate: float, key: list[str], t: str = "t", low: float = 80.0, high: float = 8000.0, channels: int = 32, shift: float = 8.0, leak: float = 8.0, how: str | float = "cuberoot") -> DataFrame:
     """(key, channel, cf, frame, value): envelopes of gammatone channels, leaky sums, frame means times 1 - decay, compressed."""
-    freqs = df.sparkSession.createDataFrame([(i, f) for i, f in enumerate(centre_freqs(low, high, channels))], "channel int, cf double")
-    decay, size = math.exp(-1000 / (srate * leak)), max(1, round(shift * srate / 1000))
+    freqs = [float(f) for f in centre_freqs(low, high, channels)]
+    decay, size, each = math.exp(-1000 / (srate * leak)), max(1, round(shift * srate / 1000)), 8
     kinds = dict(df.dtypes)
 
     def run(pdf: pd.DataFrame) -> pd.DataFrame:
-        parts = []
-        for (channel, cf), one in pdf.sort_values(t).groupby(["channel", "cf"]):
-            env = nm.gammatone(one[column].to_numpy(float), srate, cf)["envelope"]
+        pdf = pdf.sort_values(t)
+        x, parts = pdf[column].to_numpy(float), []
+        for channel in range(int(pdf["__block"].iloc[0]) * each, min(channels, (int(pdf["__block"].iloc[0]) + 1) * each)):
+            env = nm.gammatone(x, srate, freqs[channel])["envelope"]
             frames = -(-len(env) // size)
             s = nm.recursive(np.array([1.0]), np.array([1.0, -decay]), np.pad(env, (0, frames * size - len(env))))
-            parts.append(pd.DataFrame({"channel": channel, "cf": cf, "frame": np.arange(frames), "value": s.reshape(frames, size).mean(axis=1) * (1 - decay)}))
+            parts.append(pd.DataFrame({"channel": channel, "cf": freqs[channel], "frame": np.arange(frames), "value": s.reshape(frames, size).mean(axis=1) * (1 - decay)}))
         out = pd.concat(parts)
         for k in key:
             out[k] = pdf[k].iloc[0]
         return out[[*key, "channel", "cf", "frame", "value"]]
 
     schema = ", ".join([*[f"{k} {kinds[k]}" for k in key], "channel int, cf double, frame long, value double"])
-    out = df.select(*key, t, column).crossJoin(F.broadcast(freqs)).groupBy(*key, F.floor(F.col("channel") / 8)).applyInPandas(run, schema)
-    return out.withColumn("value", compress(F.col("value"), how))
+    # samples go once to each block of channels, not to each channel
+    rows = df.select(*key, t, column, F.explode(F.array(*[F.lit(i) for i in range(-(-channels // each))])).alias("__block"))
+    return rows.groupBy(*key, "__block").applyInPandas(run, schema).withColumn("value", compress(F.col("value"), how))
 
 
 def cross_spectra(df: DataFrame, columns: list[str], srate: float, key: list[str], t: str = "t", points: int | None = None) -> DataFrame:
@@ -155,6 +154,12 @@ def cross_spectra(df: DataFrame, columns: list[str], srate: float, key: list[str
     return df.select(*key, t, *columns).groupBy(*key).applyInPandas(run, schema)
 
 
+def dominant(spectra: DataFrame, key: list[str]) -> DataFrame:
+    """(key, src, freq): the positive frequency with the most power in each spectrum; of equal ones the lowest."""
+    power = F.struct(F.round("re", 6).alias("p"), (-F.col("freq")).alias("f"))
+    return spectra.filter((F.col("src") == F.col("dst")) & (F.col("freq") > 0)).groupBy(*key, "src").agg((-F.max(power)["f"]).alias("freq"))
+
+
 def frequency_response(b: list[float], a: list[float], points: DataFrame, w: str = "w") -> DataFrame:
     """|H| of a filter at angular frequencies w."""
 

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import math
+from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -70,6 +71,23 @@ def zscore(df: DataFrame, column: str, key: list[str], name: str = "z") -> DataF
     return df.withColumn(name, F.when(sd > 0, (F.col(column) - F.avg(column).over(over)) / sd).otherwise(F.lit(0.0)))
 
 
+class Scaler:
+    """A scaler fitted on one table and used on others: (x - mean) / deviation."""
+
+    def fit(self, df: DataFrame, column: str) -> Scaler:
+        row = df.agg(F.avg(column).alias("m"), F.stddev_pop(column).alias("s")).first()
+        self.mean, self.spread = row["m"], row["s"]
+        return self
+
+    def __call__(self, x: Column) -> Column:
+        return (x - self.mean) / self.spread if self.spread else F.lit(0.0)
+
+
+def scaled(df: DataFrame, column: str, scaler: Callable[[Column], Column], name: str = "z") -> DataFrame:
+    """A column through a scaler: a fitted one, or any function of the column."""
+    return df.withColumn(name, scaler(F.col(column)))
+
+
 def separate_onsets(df: DataFrame, sample: str, key: list[str], order: str, name: str = "sample") -> DataFrame:
     """An onset on the sample of the onset before it moves on by one; the original samples decide, once."""
     before = F.lag(sample).over(Window.partitionBy(*key).orderBy(order))

@@ -15,7 +15,7 @@ from ..operators import lags, response, solvers, spectral, windows, words
 from ..operators.gram import gram_table
 from ..sources import text_tables
 from .registry import QUERIES, SQL, query
-from .tables import EV, KEY, ORDER, emb_sql, embeddings, events, head, head_sql, lagged_sql, lines, load, rounded, rsql, solve_sql, sums_sql
+from .tables import EV, KEY, ORDER, emb_sql, embeddings, events, lagged_sql, lines, load, rounded, rsql, solve_sql, sums_sql
 
 PI = repr(math.pi)
 
@@ -613,7 +613,7 @@ def pte_from_phase(spark, sf):
 
 @query(f"""WITH {EV}, m AS (SELECT recording, t, x - avg(x) OVER (PARTITION BY recording) AS px, y - avg(y) OVER (PARTITION BY recording) AS py FROM ev),
  f AS (SELECT recording, coalesce(CAST(lag(px) OVER w * lead(px) OVER w < 0 AS INTEGER), 0) + coalesce(CAST(lag(py) OVER w * lead(py) OVER w < 0 AS INTEGER), 0) AS f FROM m WINDOW w AS (PARTITION BY recording ORDER BY t))
- SELECT recording, CAST(round_even(count(*) * 2 / nullif(sum(f), 0)::DOUBLE, 0) AS BIGINT) AS delay FROM f GROUP BY 1""")
+ SELECT recording, CAST(round_even((count(*) - 2) * 2 / nullif(sum(f), 0)::DOUBLE, 0) AS BIGINT) AS delay FROM f GROUP BY 1""")
 def pte_delay(spark, sf):
     from pyspark.sql import Window
 
@@ -622,47 +622,6 @@ def pte_delay(spark, sf):
     return cn.pte_delay(df, ["px", "py"], KEY)
 
 
-N = 32
-_DFT = f"""{EV}, {head_sql(N)}, dm AS (SELECT recording, t, (x - avg(x) OVER (PARTITION BY recording)) * (0.5 - 0.5 * cos(2 * {PI} * t / {N})) AS x, (y - avg(y) OVER (PARTITION BY recording)) * (0.5 - 0.5 * cos(2 * {PI} * t / {N})) AS y FROM hd),
- k AS (SELECT unnest(range(0, {N})) AS k), ft AS (SELECT recording, k, sum(x * cos(2 * {PI} * k * t / {N})) AS xr, -sum(x * sin(2 * {PI} * k * t / {N})) AS xi, sum(y * cos(2 * {PI} * k * t / {N})) AS yr, -sum(y * sin(2 * {PI} * k * t / {N})) AS yi FROM dm, k GROUP BY 1, 2),
- cs AS (SELECT recording, (CASE WHEN k < {N // 2} THEN k ELSE k - {N} END) / {N}.0 * 100.0 AS freq, xr, xi, yr, yi, 100.0 * {N} * 0.375 AS d FROM ft)"""
-
-
-def _spectra(spark, sf):
-    return spectral.cross_spectra(head(spark, sf, N), ["x", "y"], 100.0, KEY)
-
-
-@query(f"""WITH {_DFT} SELECT recording, 0 AS src, 0 AS dst, {rsql('freq', 4)} AS freq, {rsql('(xr * xr + xi * xi) / d', 4)} AS re, 0.0::DOUBLE AS im FROM cs
- UNION ALL SELECT recording, 0, 1, {rsql('freq', 4)}, {rsql('(xr * yr + xi * yi) / d', 4)}, {rsql('(xr * yi - xi * yr) / d', 4)} FROM cs UNION ALL SELECT recording, 1, 1, {rsql('freq', 4)}, {rsql('(yr * yr + yi * yi) / d', 4)}, 0.0 FROM cs""")
-def csd_small(spark, sf):
-    return _spectra(spark, sf).select("recording", "src", "dst", rounded("freq", 4).alias("freq"), rounded("re", 4).alias("re"), rounded("im", 4).alias("im"))
-
-
-@query(f"""WITH {_DFT}, f AS (SELECT freq, sum((xr * yi - xi * yr) / d) AS s, sum(abs((xr * yi - xi * yr) / d)) AS a FROM cs WHERE freq > 4 AND freq < 30 GROUP BY 1) SELECT 0 AS src, 1 AS dst, {rsql('avg(s / a)')} AS wpli FROM f""")
-def wpli_from_csd(spark, sf):
-    return cn.wpli(_spectra(spark, sf), 4.0, 30.0).withColumn("wpli", rounded("wpli"))
-
-
-def _analytic_sql(c: str, name: str) -> str:
-    return f"{name} AS (SELECT a.recording, a.t, a.{c} AS re, sum(CASE WHEN (a.t - b.t) % 2 <> 0 THEN b.{c} * 2.0 / {N} / tan({PI} * (a.t - b.t) / {N}) ELSE 0 END) AS im FROM hd a JOIN hd b ON a.recording = b.recording GROUP BY a.recording, a.t, a.{c})"
-
-
-@query(f"WITH {EV}, {head_sql(N)}, {_analytic_sql('x', 'z')} SELECT recording, t, {rsql('re')} AS re, {rsql('im')} AS im, {rsql('sqrt(re * re + im * im)')} AS amplitude FROM z")
-def hilbert_small(spark, sf):
-    return spectral.hilbert(head(spark, sf, N), "x", KEY).select("recording", "t", *[rounded(c).alias(c) for c in ("re", "im", "amplitude")])
-
-
-@query(f"""WITH {EV}, {head_sql(N)}, {_analytic_sql('x', 'z1')}, {_analytic_sql('y', 'z2')}, c AS (SELECT z1.recording, z1.t, z1.re * z2.re + z1.im * z2.im AS a, z1.im * z2.re - z1.re * z2.im AS b FROM z1 JOIN z2 ON z1.recording = z2.recording AND z1.t = z2.t),
- u AS (SELECT recording, t, a / sqrt(a * a + b * b) AS a, b / sqrt(a * a + b * b) AS b FROM c), k AS (SELECT unnest(range(1, {N})) AS k),
- p AS (SELECT recording, k, pow(sum(a * cos(2 * {PI} * k * t / {N}) + b * sin(2 * {PI} * k * t / {N})), 2) + pow(sum(b * cos(2 * {PI} * k * t / {N}) - a * sin(2 * {PI} * k * t / {N})), 2) AS p FROM u, k GROUP BY 1, 2)
- SELECT recording, 'x' AS src, 'y' AS dst, {rsql(f"sum(CASE WHEN abs(CASE WHEN k < {N // 2} THEN k ELSE k - {N} END) / {N}.0 * 100.0 < 13 THEN p ELSE 0 END) / sum(p)", 5)} AS plm FROM p GROUP BY 1""")
-def plm_small(spark, sf):
-    return cn.phase_linearity(head(spark, sf, N), ["x", "y"], 13.0, 100.0, KEY).withColumn("plm", rounded("plm", 5))
-
-
-# The four queries above read the first N samples, as their SQL does; those below take every recording whole, with its own count n.
-
-
 def _dft_whole(grid: str) -> str:
     """Spectra of one Hann segment over each recording's n samples, on m frequencies (grid: of max(n))."""
     turn = f"2 * {PI} * k * t / m"
@@ -959,4 +918,4 @@ def summary_stats(spark, sf):
     return load(spark, sf, "events").groupBy("event_type").agg(F.count("*").alias("n"), rounded(F.avg(v)).alias("mean"), rounded(F.stddev_samp(v)).alias("sd"), F.min(v).alias("low"), rounded(F.percentile(v, 0.5)).alias("middle"), F.max(v).alias("top"))
 
 
-from . import files, simulated  # noqa: E402, F401 (they register their queries, some with the SQL of those above)
+from . import analysis, files, simulated  # noqa: E402, F401 (they register their queries, some with the SQL of those above)

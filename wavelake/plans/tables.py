@@ -20,12 +20,6 @@ def events(spark: SparkSession, sf_dir: str) -> DataFrame:
     return indexed(df, KEY, ["ts", "event_id"]).select("event_id", "recording", "t", "x", "y", "event_type")
 
 
-def head(spark: SparkSession, sf_dir: str, n: int) -> DataFrame:
-    """The first n samples of every recording that has n."""
-    df = events(spark, sf_dir)
-    return df.join(df.groupBy("recording").agg(F.max("t").alias("last")).filter(F.col("last") >= n - 1), "recording").filter(F.col("t") < n).drop("last")
-
-
 def embeddings(spark: SparkSession, sf_dir: str, dims: int) -> DataFrame:
     df = load(spark, sf_dir, "embeddings")
     return df.select("vec_id", "label", *[F.col("embedding")[i].cast("double").alias(f"e{i}") for i in range(dims)])
@@ -55,10 +49,6 @@ def lagged_sql(lags: list[int], columns: tuple[str, ...] = ("x",), source: str =
     return f"lg AS (SELECT *, {cols} FROM {source} WINDOW w AS (PARTITION BY recording ORDER BY t))"
 
 
-def head_sql(n: int) -> str:
-    return f"hd AS (SELECT ev.* FROM ev JOIN (SELECT recording FROM ev GROUP BY 1 HAVING count(*) >= {n}) USING (recording) WHERE t < {n})"
-
-
 def emb_sql(dims: int) -> str:
     return "em AS (SELECT vec_id, label, " + ", ".join(f"CAST(embedding[{i + 1}] AS DOUBLE) AS e{i}" for i in range(dims)) + " FROM embeddings)"
 
