@@ -158,14 +158,13 @@ def from_array(spark: SparkSession, coefs: np.ndarray, lags: Sequence[int], feat
     return spark.createDataFrame(rows, SCHEMA)
 
 
-@F.pandas_udf("double")
-def _p_value(t: pd.Series, dof: pd.Series) -> pd.Series:
-    return pd.Series([float(t_two_sided(float(a), float(b))) for a, b in zip(t, dof, strict=True)])
-
-
 def p_value(t: Column, dof: Column) -> Column:
     """Two-sided p of Student's t."""
-    return _p_value(t, dof)
+
+    def two_sided(t: pd.Series, dof: pd.Series) -> pd.Series:
+        return pd.Series([float(t_two_sided(float(a), float(b))) for a, b in zip(t, dof, strict=True)])
+
+    return F.pandas_udf(two_sided, "double")(t, dof)
 
 
 def score(df: DataFrame, truth: str, guess: str, by: list[str], metric: str = "corr") -> DataFrame:
