@@ -280,15 +280,6 @@ def met(rows: DataFrame, totals: DataFrame, key: str, by: str, salts: int) -> Da
     return rows.join(told, [key, "__salt"]).drop("__salt")
 
 
-def with_totals(rows: DataFrame, key: str, by: str, aggs: dict[str, tuple[str, str]], salts: int) -> DataFrame:
-    """rows joined to aggregates over their key, cut like met(). aggs: name -> (function of pyspark.sql.functions, column), functions that can be applied to
-    their own results (sum, min, max, bit_xor)."""
-    rows = salted(rows, by, salts)
-    cells = rows.groupBy(key, "__salt").agg(*[getattr(F, f)(c).alias(name) for name, (f, c) in aggs.items()])
-    over = cells.groupBy(key).agg(*[getattr(F, f)(name).alias(name) for name, (f, _) in aggs.items()])
-    return rows.join(cells.select(key, "__salt").join(over, key), [key, "__salt"]).drop("__salt")
-
-
 def components(edges: DataFrame, name: str = "components") -> DataFrame:
     """Connected components of edges (a, b): (node, component = smallest node). Label spreading with pointer jumping; each round's table is written to the
     shared folder. A hub's edges meet only in partial minima and in joins that Spark can split."""

@@ -27,10 +27,12 @@ import xxhash
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import WORD, batched, bucket_bits, components, corpus_counts, key_layout, met, mixed, saved, shingles, told_counts, with_totals, word_hashes
+from .common import WORD, batched, bucket_bits, components, corpus_counts, key_layout, met, mixed, saved, shingles, told_counts, word_hashes
 
 SEEDS = (0x243F6A8885A308D3, 0x13198A2E03707344, 0xA4093822299F31D0, 0x082EFA98EC4E6C89)
 SET_SCHEMA = "doc_id long, text_hash long, n long, node long, keys array<long>, held array<long>, cuts array<int>"
+#: An index entry costs as much as so many comparisons of two lists of classes in a matrix product, at least.
+ENTRY_COST = 64
 ENTRY_SCHEMA = "key long, node long, component long, n long, acc long, place int, more long"
 
 
@@ -174,7 +176,7 @@ def extend(batches, num: int, den: int, first: bool):
             yield pa.RecordBatch.from_pydict({c: pa.array(v, pa.int32() if c == "place" else pa.int64()) for c, v in cols.items()})
 
 
-def overlaps(left: list[tuple[np.ndarray, np.ndarray]], right: list[tuple[np.ndarray, np.ndarray]], width: int = 8192) -> np.ndarray:
+def overlaps(left: list[tuple[np.ndarray, np.ndarray]], right: list[tuple[np.ndarray, np.ndarray]], width: int = 2048) -> np.ndarray:
     """How many tokens each of the left sets shares with each of the right, by matrix products over stretches of the classes that both sides hold."""
     flat = [np.concatenate([names for names, _ in side]) for side in (left, right)]
     both = np.intersect1d(*flat)
@@ -223,7 +225,7 @@ def block_links(table: pa.Table, num: int, den: int) -> pa.Table:
     return pa.table({"a": pa.array(a, pa.int64()), "b": pa.array(b, pa.int64())})
 
 
-def compared(held: DataFrame, sets: DataFrame, num: int, den: int, block: int = 256) -> DataFrame:
+def compared(held: DataFrame, sets: DataFrame, num: int, den: int, block: int = 1024) -> DataFrame:
     """Links between holders of the same key in different components. held: (key, node, component, c, main); blocks of those outside the key's largest
     component meet blocks of all."""
     size = F.lit(float(block))
@@ -250,6 +252,23 @@ def shared_keys(entries: DataFrame, salts: int) -> DataFrame:
     return met(entries, over.filter("parts > 1"), "key", "node", salts)
 
 
+def tied(sets: DataFrame, num: int, den: int, salts: int, rounds: int = 2) -> tuple[DataFrame, DataFrame]:
+    """Links of sets that share a minimum hash with one of the key's holders, and components. Every round takes another holder of each key, and only keys
+    that different components still hold. sets: node, n, keys, names, weights."""
+    keyed, links, parts = sets.select("node", F.explode("keys").alias("key")), None, None
+    for r in range(rounds):
+        now = keyed.withColumn("component", F.col("node")) if parts is None else keyed.join(parts, "node", "left").withColumn("component", F.coalesce("component", "node"))
+        over = now.groupBy("key").agg(F.min(F.struct(F.xxhash64("key", "node", F.lit(r)).alias("order"), "node", "component")).alias("any"), F.min("component").alias("lo"), F.max("component").alias("hi"))
+        apart = met(now, over.filter("lo < hi"), "key", "node", salts).filter(F.col("component") != F.col("any.component"))
+        pairs = saved(apart.select(F.col("any.node").alias("a"), F.col("node").alias("b")).distinct(), "pairs")
+        if r and pairs.isEmpty():
+            break
+        new = saved(verified(pairs, sets, num, den), "links")
+        links = new if links is None else links.union(new)
+        parts = components(links)
+    return links, parts
+
+
 def first_met(docs: DataFrame, num: int, den: int, salts: int) -> tuple[DataFrame, DataFrame]:
     """Links of each key's holders with one of them; docs with the components that these links leave."""
     held = shared_keys(docs.mapInArrow(lambda b: extend(b, num, den, True), ENTRY_SCHEMA), salts)
@@ -265,7 +284,7 @@ def first_met(docs: DataFrame, num: int, den: int, salts: int) -> tuple[DataFram
 def candidates(docs: DataFrame, num: int, den: int, rare: int, salts: int) -> tuple[list[DataFrame], list[DataFrame]]:
     """Of classed() sets: pairs (a, b) to be verified and links, which hold every link between different components, up to what the links themselves connect;
     a table of each for each length of the keys."""
-    entries, found, links, most = docs.mapInArrow(lambda b: extend(b, num, den, True), ENTRY_SCHEMA), [], [], rare
+    entries, found, links, most = docs.mapInArrow(lambda b: extend(b, num, den, True), ENTRY_SCHEMA), [], [], ENTRY_COST
     while True:
         held = saved(shared_keys(saved(entries, "entries"), salts), "index")
         pairs = index_pairs(held.filter(F.col("c") <= rare), num, den)
@@ -298,11 +317,9 @@ def labelled(docs: DataFrame, words: int, num: int, den: int, rare: int, doc_id:
     sets = saved(mine.select("node", "n", "keys", "held", "cuts").dropDuplicates(["node"]), "sets")
     salts = 4 + sets.count() // 10_000
 
-    keyed = sets.select("node", F.explode("keys").alias("key"))
-    hubs = with_totals(keyed, "key", "node", {"a": ("min", "node")}, salts).filter("node <> a")
-    raw = sets.select("node", "n", F.col("held").alias("names"), F.transform("held", lambda _: F.lit(1).cast("long")).alias("weights"))
-    links = saved(verified(saved(hubs.select("a", F.col("node").alias("b")).distinct(), "pairs"), raw, num, den), "links")
-    now = sets.select("node", "n", "held", "cuts").join(components(links), "node", "left").withColumn("component", F.coalesce("component", "node"))
+    raw = sets.select("node", "n", "keys", F.col("held").alias("names"), F.transform("held", lambda _: F.lit(1).cast("long")).alias("weights"))
+    links, parts = tied(raw, num, den, salts)
+    now = sets.select("node", "n", "held", "cuts").join(parts, "node", "left").withColumn("component", F.coalesce("component", "node"))
     more, docs = first_met(saved(classed(now, num, den), "classes"), num, den, salts)
     pairs, others = candidates(docs, num, den, rare, salts)
     for table in [more, *[verified(p, named(docs), num, den) for p in pairs], *others]:
