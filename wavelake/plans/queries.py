@@ -712,23 +712,6 @@ def filterbank(spark, sf):
     return spectral.filterbank(events(spark, sf), "x", [([0.2137777, 0.1093], [1.0, -0.4871, 0.2519])], KEY).withColumn("value", rounded("value", 5))
 
 
-@query()
-def filterbank_chebyshev(spark, sf):
-    bank = spectral.chebyshev_bank([(4.0, 8.0), (8.0, 13.0)], 100.0, 3)
-    return spectral.filterbank(events(spark, sf), "x", bank, KEY).withColumn("value", rounded("value"))
-
-
-@query()
-def gammatone(spark, sf):
-    out = spectral.gammatone(events(spark, sf), "x", 4000.0, 400.0, KEY)
-    return out.select("recording", "t", *[rounded(c).alias(c) for c in ("displacement", "envelope", "frequency")])
-
-
-@query()
-def rate_map(spark, sf):
-    return spectral.rate_map(events(spark, sf), "x", 4000.0, KEY, low=80.0, high=1600.0, channels=4, shift=2.0).withColumn("value", rounded("value"))
-
-
 @query(f"""WITH p AS (SELECT CAST(p_partkey AS BIGINT) AS p_partkey, p_size * 0.05 AS w FROM part) SELECT p_partkey, {rsql('sqrt(pow(0.2 + 0.1 * cos(w), 2) + pow(0.1 * sin(w), 2)) / sqrt(pow(1 - 0.5 * cos(w) + 0.25 * cos(2 * w), 2) + pow(-0.5 * sin(w) + 0.25 * sin(2 * w), 2))')} AS gain FROM p""")
 def frequency_response(spark, sf):
     points = load(spark, sf, "part").select(F.col("p_partkey").cast("long").alias("p_partkey"), (F.col("p_size") * 0.05).alias("w"))
@@ -818,12 +801,6 @@ def paired_t(spark, sf):
     return events(spark, sf).groupBy("recording").agg(rounded(F.avg(d) / (F.stddev_samp(d) / F.sqrt(F.count("*")))).alias("t"), (F.count("*") - 1).alias("dof"))
 
 
-@query()
-def cochleogram(spark, sf):
-    out = spectral.rate_map(events(spark, sf), "x", 16000.0, KEY, low=80.0, high=8000.0, channels=32, shift=1.0)
-    return out.select("recording", "channel", "frame", rounded("value").alias("value"))
-
-
 @query()
 def cca_activation(spark, sf):
     df = embeddings(spark, sf, 6)
@@ -918,4 +895,4 @@ def summary_stats(spark, sf):
     return load(spark, sf, "events").groupBy("event_type").agg(F.count("*").alias("n"), rounded(F.avg(v)).alias("mean"), rounded(F.stddev_samp(v)).alias("sd"), F.min(v).alias("low"), rounded(F.percentile(v, 0.5)).alias("middle"), F.max(v).alias("top"))
 
 
-from . import analysis, files, simulated  # noqa: E402, F401 (they register their queries, some with the SQL of those above)
+from . import analysis, auditory, files, simulated  # noqa: E402, F401 (they register their queries, some with the SQL of those above)
