@@ -580,6 +580,26 @@ def test_repeats_of_periodic_and_long_texts(spark):
     assert got == brute_repeats(rows)
 
 
+def test_repeats_around_a_line_that_many_texts_share(spark):
+    """The line is shorter than the strings sought; some texts also repeat what stands around it."""
+    line, rows = prose(12, 60).replace("é", "f")[:80], []
+    for i in range(150):
+        rows.append((i, prose(14, 7000 + i % 70) + "\n" + line + "\n" + prose(14, 8000 + i % 90)))
+    rows += [(200 + i, prose(3, 7100 + i)[-4:] + line + prose(3, 8100 + i)[:15]) for i in range(40)] + [(300, line), (301, line * 3)]
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    for hot in (suffix_dedup.HOT, 20, 1):
+        got = sorted(tuple(r) for r in suffix_dedup.digest(suffix_dedup.repeated_spans(df, batch_mb=0.01, hot=hot)).collect())
+        assert got == brute_repeats(rows)
+    # the split runs of different contexts go to different shards
+    raws = [t.encode() for _, t in rows]
+    runs = suffix_dedup.text_runs(raws, 100)
+    key, count = np.unique(runs[0], return_counts=True)
+    most = runs[0] == key[count.argmax()]
+    parts = suffix_dedup.split_runs(raws, tuple(x[most] for x in runs), 100)
+    assert count.max() > 100 and np.unique(parts[0], return_counts=True)[1].max() < count.max() / 5
+    assert parts[3].sum() == runs[3][most].sum() and parts[3].max() <= suffix_dedup.GROUP
+
+
 @given(st.lists(st.integers(1, 3), min_size=1, max_size=60))
 @settings(max_examples=200, deadline=None)
 def test_suffix_array(values):

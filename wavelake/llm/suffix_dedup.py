@@ -3,6 +3,10 @@
 Which strings can repeat at all is told by their minimizers: of the 69 runs of 32 bytes in a 100-byte string, the one with the smallest hash. Equal strings
 have equal minimizers at the same place, so windows are cut into runs that share a minimizer, and only runs whose minimizer the corpus holds more than once
 go on. Runs go to shards by minimizer; a shard's suffix array puts equal strings side by side wherever they came from, so shards need no merging.
+
+A minimizer that very many runs share, such as one inside a common line that is shorter than the strings sought, would bring them all to one shard. Its runs
+are split by where it stands in the windows: nine windows that follow each other share 92 bytes around it, and equal windows share them too, so those bytes
+decide the shard instead. Only strings that repeat almost whole still meet.
 """
 
 from __future__ import annotations
@@ -22,8 +26,12 @@ _CODE = np.random.default_rng(9).integers(0, 1 << 63, 256, dtype=np.uint64) * np
 _BASE = 0x9E3779B97F4A7C15
 
 
-def minimizer_runs(raw: np.ndarray, window: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Key, start and number of windows of each run of windows with one minimizer, in at most 2^18 bytes."""
+#: From so many occurrences on a minimizer's runs are split, into groups of so many windows.
+HOT, GROUP = 2_000, 9
+
+
+def minimizer_runs(raw: np.ndarray, window: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """Key, start, number of windows and the minimizer's place of each run of windows with one minimizer, in at most 2^18 bytes."""
     h, span, power = _CODE[raw], 1, _BASE
     while span < RUN:
         h = h[:-span] * np.uint64(power) + h[span:]
@@ -37,38 +45,42 @@ def minimizer_runs(raw: np.ndarray, window: int) -> tuple[np.ndarray, np.ndarray
     if span < size:
         h = np.minimum(h[: len(h) - (size - span)], h[size - span :])
     starts = np.flatnonzero(np.r_[True, h[1:] != h[:-1]])
-    return mixed(h[starts] >> np.uint64(_PLACE)), starts, np.diff(np.r_[starts, len(h)])
+    place = (h[starts] & np.uint64((1 << _PLACE) - 1)).astype(np.int64)
+    return mixed(h[starts] >> np.uint64(_PLACE)), starts, np.diff(np.r_[starts, len(h)]), place
 
 
-def text_runs(raws: list[bytes], window: int, stretch: int = 1 << 17) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-    """Of all texts: key, text's number, start and number of windows of each run. Long texts go stretch by stretch, short ones many at once."""
-    out = [(np.zeros(0, np.uint64), np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0, np.int64))]
+def text_runs(raws: list[bytes], window: int, stretch: int = 1 << 17) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """Of all texts: key, text's number, start, number of windows and the minimizer's place of each run. Long texts go stretch by stretch, short ones many at
+    once."""
+    out = [(np.zeros(0, np.uint64), *(np.zeros(0, np.int64) for _ in range(4)))]
 
     def flush(part: list[tuple[int, int, bytes]]) -> None:
         size = np.array([len(x) for _, _, x in part])
         first = np.cumsum(size) - size
-        key, start, n = minimizer_runs(np.frombuffer(b"".join(x for _, _, x in part), np.uint8), window)
+        key, start, n, place = minimizer_runs(np.frombuffer(b"".join(x for _, _, x in part), np.uint8), window)
         # windows that reach over a text's end are none: runs are cut there
         ok = first + size - window + 1
         a = np.searchsorted(first, start, side="right") - 1
         b = np.searchsorted(first, start + n - 1, side="right") - 1
         wide = b > a
         if wide.any():
-            keys, starts, ends, owner = [key[~wide]], [start[~wide]], [(start + n)[~wide]], [a[~wide]]
+            keys, starts, ends, owner, places = [key[~wide]], [start[~wide]], [(start + n)[~wide]], [a[~wide]], [place[~wide]]
             for i in np.flatnonzero(wide):
                 own = np.arange(a[i], b[i] + 1)
                 keys.append(np.full(len(own), key[i]))
                 starts.append(np.maximum(start[i], first[own]))
                 ends.append(np.minimum(start[i] + n[i], first[own] + size[own]))
                 owner.append(own)
-            key, start, end, a = (np.concatenate(x) for x in (keys, starts, ends, owner))
+                places.append(np.full(len(own), place[i]))
+            key, start, end, a, place = (np.concatenate(x) for x in (keys, starts, ends, owner, places))
         else:
             end = start + n
         end = np.minimum(end, ok[a])
         keep = end > start
-        key, start, end, a = key[keep], start[keep], end[keep], a[keep]
+        key, start, end, a, place = key[keep], start[keep], end[keep], a[keep], place[keep]
         number, base = np.array([i for i, _, _ in part]), np.array([x for _, x, _ in part])
-        out.append((key, number[a], start - first[a] + base[a], end - start))
+        move = base[a] - first[a]
+        out.append((key, number[a], start + move, end - start, place + move))
 
     part, held = [], 0
     for i, raw in enumerate(raws):
@@ -97,12 +109,31 @@ _MARK = np.dtype([("row", "<i4"), ("n", "<i4"), ("start", "<i8")])
 _NONE = np.iinfo(np.int64).min
 
 
-def send_runs(batch: int, table: pa.Table, back: pa.Table, bits: int, width: int, shards: int, window: int) -> pa.Table:
+def split_runs(raws: list[bytes], runs: tuple[np.ndarray, ...], window: int) -> tuple[np.ndarray, ...]:
+    """Runs cut into groups of windows by the place of the minimizer in them; the bytes that a group's windows share are its key."""
+    out = []
+    for key, text, start, n, place in zip(*(x.tolist() for x in runs), strict=True):
+        at, end = start, start + n
+        while at < end:
+            group = (place - at) // GROUP  # this window's minimizer lies group * GROUP or up to GROUP - 1 more bytes after its start
+            stop = min(end, place - group * GROUP + 1)
+            shared = raws[text][place - group * GROUP : place - group * GROUP + window - GROUP + 1]
+            out.append((xxhash.xxh3_64_intdigest(shared, (key + group) % 2**64), text, at, stop - at))
+            at = stop
+    cols = zip(*out, strict=True) if out else ([], [], [], [])
+    return tuple(np.array(c, np.uint64 if i == 0 else np.int64) for i, c in enumerate(cols))
+
+
+def send_runs(batch: int, table: pa.Table, back: pa.Table, bits: int, width: int, shards: int, window: int, hot: int) -> pa.Table:
     """A batch's runs that may repeat, by shard. Of runs with equal bytes only the first goes; the others are repeats for sure and are marked at once."""
     ids, copy, raws = in_order(table)
-    key, text, start, n = text_runs(raws, window)
-    unique, _, inverse = key_layout(key, bits, width)
-    some = np.flatnonzero(told_counts(unique, bits, width, back)[inverse] > 1) if len(key) else np.zeros(0, np.int64)
+    runs = text_runs(raws, window)
+    unique, _, inverse = key_layout(runs[0], bits, width)
+    held = told_counts(unique, bits, width, back)[inverse] if len(runs[0]) else np.zeros(0, np.uint64)
+    often = split_runs(raws, tuple(x[held > hot] for x in runs), window)
+    mild = (held > 1) & (held <= hot)
+    key, text, start, n = (np.concatenate([x[mild], y]) for x, y in zip(runs[:4], often, strict=True))
+    some = np.arange(len(key))
     order = some[np.lexsort((start[some], text[some]))]
     first: dict[bytes, int] = {}
     go, marks = [], []
@@ -206,7 +237,7 @@ def spans_of(marks: np.ndarray, window: int) -> list[tuple[int, int]]:
     return out
 
 
-def repeated_spans(docs: DataFrame, window: int = 100, doc_id: str = "doc_id", text: str = "text", batch_mb: float = 4) -> DataFrame:
+def repeated_spans(docs: DataFrame, window: int = 100, doc_id: str = "doc_id", text: str = "text", batch_mb: float = 4, hot: int = HOT) -> DataFrame:
     """Per row: doc_id, n_bytes, spans (array of [start, end) in bytes, maximal, in order), kept (the remaining bytes).
 
     A byte goes if a string of window bytes that also starts earlier covers it (smaller doc_id, or earlier in the same document); strings never cross
@@ -220,7 +251,7 @@ def repeated_spans(docs: DataFrame, window: int = 100, doc_id: str = "doc_id", t
     counts = corpus_counts(texts, batches, lambda raw: text_runs(raw, window)[0], bits, width)
 
     def send(key, table, back):
-        return send_runs(key[0].as_py(), table, back, bits, width, batches, window)
+        return send_runs(key[0].as_py(), table, back, bits, width, batches, window, hot)
 
     def finish(table, back):
         ids, _, raws = in_order(table)
