@@ -9,7 +9,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.numeric import generalised_eigh, positive_definite, signed
-from .gram import gram_matrix
+from .gram import SQL_MOST, gram_groups, gram_matrix
 from .lags import lag_features, lag_name
 
 
@@ -20,7 +20,7 @@ def unpacked(df: DataFrame, vector: str, dims: int, prefix: str = "c") -> DataFr
 
 def covariance(df: DataFrame, columns: list[str], by: list[str] | None = None, estimator: str | Callable[[np.ndarray], np.ndarray] = "cov") -> DataFrame:
     """Long table (by, i, j, v), i <= j. cov: sample covariance; scm: mean products without centring; pop: population; corr: correlation;
-    lwf, oas: shrunk to the mean variance by closed forms; one aggregation each. mcd: fast minimum covariance determinant (exact for one column), on pandas groups; so is a function of a group's rows x columns."""
+    lwf, oas: shrunk to the mean variance by closed forms; one aggregation each, or with many columns partial Gram matrices. mcd: fast minimum covariance determinant (exact for one column), on pandas groups; so is a function of a group's rows x columns."""
     by = by or []
     if callable(estimator):
         return _by_group(df, columns, by, estimator)
@@ -28,6 +28,8 @@ def covariance(df: DataFrame, columns: list[str], by: list[str] | None = None, e
         return _shrunk(df, columns, by, estimator)
     if estimator == "mcd":
         return _mcd(df, columns, by)
+    if len(columns) > SQL_MOST:
+        return _from_grams(df, columns, by, estimator)
     agg = {"cov": F.covar_samp, "pop": F.covar_pop, "corr": F.corr, "scm": lambda a, b: F.avg(F.col(a) * F.col(b))}[estimator]
     pairs = [(i, j) for i in range(len(columns)) for j in range(i, len(columns))]
     sums = df.groupBy(*by).agg(*[agg(columns[i], columns[j]).alias(f"__{i}_{j}") for i, j in pairs])
@@ -35,6 +37,28 @@ def covariance(df: DataFrame, columns: list[str], by: list[str] | None = None, e
     return sums.select(*by, F.explode(items).alias("__p")).select(*by, "__p.i", "__p.j", "__p.v")
 
 
+def _from_grams(df: DataFrame, columns: list[str], by: list[str], estimator: str) -> DataFrame:
+    """The same from each group's Gram matrix with a column of ones; rows with a missing value are left out."""
+    kinds, p = dict(df.dtypes), len(columns)
+    grams = gram_groups(df.na.drop(subset=columns).withColumns({"__one": F.lit(1.0), "__all": F.lit(0)}), [*columns, "__one"], ["__all", *by])
+
+    def run(pdf):
+        g = np.array(pdf["gram"].iloc[0], float).reshape(p + 1, p + 1)
+        n, mean = g[-1, -1], g[-1, :-1] / g[-1, -1]
+        c = g[:-1, :-1] / n - (0 if estimator == "scm" else np.outer(mean, mean))
+        if estimator == "cov":
+            c = c * n / (n - 1) if n > 1 else c * np.nan
+        elif estimator == "corr":
+            c = c / np.sqrt(np.outer(np.diag(c), np.diag(c)))
+        i, j = np.triu_indices(p)
+        out = type(pdf)({"i": [columns[k] for k in i], "j": [columns[k] for k in j], "v": c[i, j]})
+        for b in by:
+            out[b] = pdf[b].iloc[0]
+        return out[[*by, "i", "j", "v"]]
+
+    return grams.groupBy("__all", *by).applyInPandas(run, ", ".join([*[f"{b} {kinds[b]}" for b in by], "i string", "j string", "v double"]))
+
+
 def _total(columns: list[Column]) -> Column:
     out = columns[0]
     for c in columns[1:]:

@@ -434,24 +434,34 @@ def _pairs_sql(agg, keys: str, source: str, digits: int = 7, dims: int = 4) -> s
 E4 = [f"e{i}" for i in range(4)]
 
 
-@query(f"WITH {emb_sql(4)} " + _pairs_sql(lambda a, b: f"covar_samp({a}, {b})", "label", "em"))
+E64 = [f"e{i}" for i in range(64)]
+
+
+def _all_pairs_sql(agg: str, digits: int, by: bool = True) -> str:
+    """All 2,080 pairs of a vector's 64 components."""
+    k, group = ("a.label, ", "a.label, ") if by else ("", "")
+    return f"""WITH lv AS (SELECT vec_id, label, unnest(range(0, 64)) AS k, CAST(unnest(embedding) AS DOUBLE) AS v FROM embeddings)
+ SELECT {k}'e' || a.k AS i, 'e' || b.k AS j, {rsql(agg, digits)} AS v FROM lv a JOIN lv b ON a.vec_id = b.vec_id AND a.k <= b.k GROUP BY {group}a.k, b.k"""
+
+
+@query(_all_pairs_sql("covar_samp(a.v, b.v)", 7))
 def cov_trials(spark, sf):
-    return cv.covariance(embeddings(spark, sf, 4), E4, ["label"]).withColumn("v", rounded("v", 7))
+    return cv.covariance(embeddings(spark, sf, 64), E64, ["label"]).withColumn("v", rounded("v", 7))
 
 
-@query(f"WITH {emb_sql(4)} " + _pairs_sql(lambda a, b: f"covar_samp({a}, {b})", "", "em"))
+@query(_all_pairs_sql("covar_samp(a.v, b.v)", 7, False))
 def cov_all(spark, sf):
-    return cv.covariance(embeddings(spark, sf, 4), E4).withColumn("v", rounded("v", 7))
+    return cv.covariance(embeddings(spark, sf, 64), E64).withColumn("v", rounded("v", 7))
 
 
-@query(f"WITH {emb_sql(4)} " + _pairs_sql(lambda a, b: f"avg({a} * {b})", "label", "em"))
+@query(_all_pairs_sql("avg(a.v * b.v)", 7))
 def cov_scm(spark, sf):
-    return cv.covariance(embeddings(spark, sf, 4), E4, ["label"], "scm").withColumn("v", rounded("v", 7))
+    return cv.covariance(embeddings(spark, sf, 64), E64, ["label"], "scm").withColumn("v", rounded("v", 7))
 
 
-@query(f"WITH {emb_sql(4)} " + _pairs_sql(lambda a, b: f"corr({a}, {b})", "label", "em", 6))
+@query(_all_pairs_sql("corr(a.v, b.v)", 6))
 def corr_trials(spark, sf):
-    return cv.covariance(embeddings(spark, sf, 4), E4, ["label"], "corr").withColumn("v", rounded("v", 6))
+    return cv.covariance(embeddings(spark, sf, 64), E64, ["label"], "corr").withColumn("v", rounded("v", 6))
 
 
 @query(f"WITH {emb_sql(2)}, tp AS (SELECT vec_id, label, e0, e1, avg(e0) OVER w AS e2, avg(e1) OVER w AS e3 FROM (SELECT *, vec_id % 20 AS t FROM em) WINDOW w AS (PARTITION BY t)) " + _pairs_sql(lambda a, b: f"covar_samp({a}, {b})", "label", "tp"))
@@ -482,21 +492,23 @@ def cov_mcd(spark, sf):
     return cv.covariance(embeddings(spark, sf, 3), ["e0", "e1", "e2"], ["label"], "mcd").withColumn("v", rounded("v", 7))
 
 
-_UNIT = " UNION ALL ".join(f"SELECT 'w{i}' AS i, 'w{j}' AS j, {1.0 if i == j else 0.0}::DOUBLE AS v" for i in range(4) for j in range(i, 4))
+_UNIT = "SELECT 'w' || i AS i, 'w' || j AS j, CASE WHEN i = j THEN 1.0 ELSE 0.0 END::DOUBLE AS v FROM range(0, 12) a(i), range(0, 12) b(j) WHERE i <= j"
+
+
+def _whitened(spark, sf, kind: str):
+    df = embeddings(spark, sf, 12)
+    out = cv.Whitener(kind).fit(df, E64[:12]).transform(df)
+    return cv.covariance(out, [f"w{i}" for i in range(12)]).withColumn("v", rounded("v", 6))
 
 
 @query(_UNIT)
 def whiten_check(spark, sf):
-    df = embeddings(spark, sf, 4)
-    out = cv.Whitener("pca").fit(df, E4).transform(df)
-    return cv.covariance(out, [f"w{i}" for i in range(4)]).withColumn("v", rounded("v", 6))
+    return _whitened(spark, sf, "pca")
 
 
 @query(_UNIT)
 def zca_check(spark, sf):
-    df = embeddings(spark, sf, 4)
-    out = cv.Whitener("zca").fit(df, E4).transform(df)
-    return cv.covariance(out, [f"w{i}" for i in range(4)]).withColumn("v", rounded("v", 6))
+    return _whitened(spark, sf, "zca")
 
 
 @query(f"WITH {emb_sql(2)} SELECT vec_id, {rsql('e0')} AS r0, {rsql('e1')} AS r1 FROM em")
