@@ -1,7 +1,8 @@
 """A corpus pipeline of five stages, each one operator of wavelake.llm.
 
 Each stage takes (spark, docs, sf_dir) and returns what it keeps, with the columns of documents; the last returns shards. The classifier is fitted on the
-labelled rows of the table itself, outside the held-out third. Empty tables give empty tables; null texts count as empty; null ids stay until the end.
+labelled rows of the table itself, outside the held-out third. Empty tables give empty tables; null texts count as empty; rows without an id, or that share
+one, are each judged by their own text, and of a group of near copies the row without an id goes last.
 """
 
 from __future__ import annotations
@@ -20,7 +21,7 @@ def quality_classifier(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Dat
 
 
 def ngram_jaccard_join(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document, the one with the smallest id, of each group of near copies."""
+    """One row, the one with the smallest id, of each group of near copies."""
     return jaccard_join.keep_one(docs)
 
 
