@@ -22,9 +22,16 @@ def story(path="path"):
     return F.regexp_extract(path, "story=([0-9]+)", 1).cast("long").alias("story")
 
 
-def with_header(rows, header: str):
-    head = rows.select("story").distinct().select("story", F.lit(0).cast("long").alias("line_no"), F.lit(header).alias("line"))
-    return rows.select("story", F.col("line_no").cast("long").alias("line_no"), "line").union(head)
+def with_header(rows, header):
+    """rows numbered from 1 in a story's order, the header as line 0. Header and first line come from one row: the sides of a union may be packed into tasks
+    differently (the repartition of written() is dropped where both are already dealt by story), and the header then gets a file of its own."""
+    from pyspark.sql import Window
+
+    at = F.row_number().over(Window.partitionBy("story").orderBy("line_no")).cast("long")
+    line = lambda no, text: F.struct(no.alias("line_no"), text.alias("line"))
+    own = line(F.col("line_no"), F.col("line"))
+    both = F.array(line(F.lit(0).cast("long"), F.lit(header)), own)
+    return rows.select("story", at.alias("line_no"), "line").select("story", F.inline(F.when(F.col("line_no") == 1, both).otherwise(F.array(own))))
 
 
 def stories(spark, sf):
