@@ -19,7 +19,7 @@ def many_tasks(spark):
         spark.conf.unset(k)
 
 
-@pytest.mark.parametrize("name", ["close_values", "depth_values", "story_word_features", "word_onsets_spaced", "open_values"])
+@pytest.mark.parametrize("name", ["close_values", "depth_values", "story_word_features", "word_onsets_spaced", "open_values", "word_onsets_csv"])
 def test_header_stays_with_its_words(many_tasks, name):
     mine = plans.queries()[name](many_tasks, SF)
     c = duckdb.connect()
