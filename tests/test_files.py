@@ -26,3 +26,14 @@ def test_header_stays_with_its_words(many_tasks, name):
     c.execute(f"CREATE VIEW part AS SELECT * FROM '{SF}/part.parquet'")
     want = c.execute(f"SELECT {', '.join(mine.columns)} FROM ({plans.oracle_sql()[name]})").fetchall()
     assert sorted(map(tuple, mine.collect())) == sorted(want)
+
+
+def test_more_vectors_than_a_model_keeps(spark, tmp_path):
+    n = 30_500
+    spark.range(n).selectExpr("id * 3 + 7 AS vec_id", "transform(sequence(1, 64), i -> CAST(sin(id * 64 + i) AS FLOAT)) AS embedding").write.parquet(str(tmp_path / "embeddings.parquet"))
+    mine = plans.queries()["word_vectors_text"](spark, str(tmp_path))
+    c = duckdb.connect()
+    c.execute(f"CREATE VIEW embeddings AS SELECT * FROM '{tmp_path}/embeddings.parquet/*.parquet'")
+    want = c.execute(f"SELECT {', '.join(mine.columns)} FROM ({plans.oracle_sql()['word_vectors_text']})").fetchall()
+    got = sorted(map(tuple, mine.collect()))
+    assert len(got) == n and got == sorted(want)

@@ -30,8 +30,9 @@ def with_header(rows, header):
     at = F.row_number().over(Window.partitionBy("story").orderBy("line_no")).cast("long")
     line = lambda no, text: F.struct(no.alias("line_no"), text.alias("line"))
     own = line(F.col("line_no"), F.col("line"))
-    both = F.array(line(F.lit(0).cast("long"), F.lit(header)), own)
-    return rows.select("story", at.alias("line_no"), "line").select("story", F.inline(F.when(F.col("line_no") == 1, both).otherwise(F.array(own))))
+    both = F.array(line(F.lit(0).cast("long"), F.col("head")), own)
+    rows = rows.select("story", at.alias("line_no"), "line", F.lit(header).alias("head"))
+    return rows.select("story", F.inline(F.when(F.col("line_no") == 1, both).otherwise(F.array(own))))
 
 
 def stories(spark, sf):
@@ -102,16 +103,21 @@ def word_onsets_spaced(spark, sf):
     return text_tables.word_onsets(_syntax(spark, sf)).select(story(), "word_pos", "word", "onset")
 
 
-def _vectors(spark, sf):
+def _vectors(spark, sf, most=None):
+    """Word vectors in one file by vec_id, or dealt by the hash of vec_id to files of about most vectors, as a file is written and numbered in one piece."""
+    from pyspark.sql import Window
+
     df = load(spark, sf, "embeddings")
-    n = df.count()
-    rows = df.select(F.lit(0).alias("story"), (F.col("vec_id") + 1).alias("line_no"), F.concat_ws(" ", F.concat(F.lit("w"), "vec_id"), F.concat_ws(" ", F.transform("embedding", lambda v: v.cast("string")))).alias("line"))
-    return text_tables.whole_lines(spark, written(with_header(rows, f"{n} 64"), "vectors"))
+    files = -(-df.count() // most) if most else 1
+    line = F.concat_ws(" ", F.concat(F.lit("w"), "vec_id"), F.concat_ws(" ", F.transform("embedding", lambda v: v.cast("string"))))
+    rows = df.select(F.pmod(F.xxhash64("vec_id"), F.lit(max(1, files))).alias("story"), (F.col("vec_id") + 1).alias("line_no"), line.alias("line"))
+    header = F.concat(F.count("*").over(Window.partitionBy("story")).cast("string"), F.lit(" 64"))
+    return text_tables.whole_lines(spark, written(with_header(rows, header), "vectors"))
 
 
 @query("SELECT 'w' || vec_id AS word, len(embedding) AS dims, embedding[1] AS first, embedding[64] AS last FROM embeddings")
 def word_vectors_text(spark, sf):
-    return text_tables.vectors(_vectors(spark, sf)).select("word", F.size("vec").cast("long").alias("dims"), F.col("vec")[0].alias("first"), F.col("vec")[63].alias("last"))
+    return text_tables.vectors(_vectors(spark, sf, 4096), None).select("word", F.size("vec").cast("long").alias("dims"), F.col("vec")[0].alias("first"), F.col("vec")[63].alias("last"))
 
 
 @query("SELECT 'w' || vec_id AS word, embedding[1] AS first FROM embeddings ORDER BY vec_id LIMIT 200")

@@ -73,10 +73,11 @@ def sentence_positions(lines: DataFrame, keep: list[str]) -> DataFrame:
     return lines.select(*keep, "line_no", F.posexplode(words).alias("p", "word")).select(*keep, "line_no", "word", (F.col("p") + 1).cast("int").alias("position"))
 
 
-def vectors(lines: DataFrame, most: int = 30_000) -> DataFrame:
-    """Word vectors of a text file: a first line 'count dim', then word and numbers; the first most of them."""
+def vectors(lines: DataFrame, most: int | None = 30_000) -> DataFrame:
+    """Word vectors of text files: a first line 'count dim', then word and numbers; the first most of each file, with None all."""
     f = F.split(F.trim("line"), " ")
-    rows = lines.filter((F.col("line_no") > 1) & (F.col("line_no") <= most + 1) & (F.trim("line") != ""))
+    rows = lines.filter((F.col("line_no") > 1) & (F.trim("line") != ""))
+    rows = rows if most is None else rows.filter(F.col("line_no") <= most + 1)
     return rows.select(f[0].alias("word"), F.transform(F.slice(f, 2, 1 << 20), lambda x: x.cast("float")).alias("vec"))
 
 
